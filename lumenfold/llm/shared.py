@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def word_count(text: str | Column) -> Column:
 def rows_of(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with their texts (null: empty), each of about so many bytes of text at most, one row at least."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist() if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist() if batch.num_rows else []
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and held + n > chars:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language_id, quality_cascade, secret_scan, source_mix, warc
+from . import ann, byte_bpe, language_id, near_dedup, quality_cascade, secret_scan, source_mix, warc
 from .shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +20,11 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, by shingles of four words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the model never sees the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -64,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
-    own = [op1_nearest_neighbours, op3_language_id, op4_source_mix, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe]
+    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe]
     return {f.__name__: f for f in own}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language_id, near_dedup, quality_cascade, secret_scan, source_mix, warc
+from . import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc
 from .shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +40,16 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log ratio and verdict of every document; the target is text of good quality that is not toxic."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that repeat."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -69,7 +79,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
-    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe]
+    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe]
     return {f.__name__: f for f in own}
 
 

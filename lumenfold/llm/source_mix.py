@@ -90,10 +90,15 @@ def copies(df: DataFrame, expected: Column, key: str = "doc_id", source: str = "
     return placed.withColumn("_end", end).withColumn("copies", crossed.cast("int")).drop("_e", "_class", "_hash", "_bucket", "_source", "_upto", "_start", "_end")
 
 
+def expected_copies() -> Column:
+    """Expected copies of each row, from target and source_size."""
+    rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("long")
+    return F.least(rate, F.lit(CAP * UNIT))
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each document."""
     sizes = written(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
     goal = targets(sizes).withColumnRenamed("source", "_goal")
     rows = sizes.join(goal, F.col("source").eqNullSafe(F.col("_goal"))).drop("_goal")
-    rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("long")
-    return copies(rows, F.least(rate, F.lit(CAP * UNIT)))
+    return copies(rows, expected_copies())

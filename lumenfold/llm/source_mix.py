@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size") -> Dat
     after = line.rowsBetween(W.currentRow, W.unboundedFollowing)
     level = (F.sum("source_size").over(W.partitionBy()) * SHARE - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
     stops = weighed.withColumn("level", level).withColumn("stops", F.col("cap") < F.col("level") * F.col("weight"))
-    free = F.min(F.when(~F.col("stops"), F.col("level"))).over(W.partitionBy())
+    free = F.max(F.when(~F.col("stops"), F.col("level"))).over(W.partitionBy())  # of those that do not stop, the first has the level
     target = F.when(F.col("stops") | free.isNull(), F.col("cap").cast("double")).otherwise(F.least(free * F.col("weight"), F.col("cap").cast("double")))
     return stops.select("source", "source_size", target.alias("target"))
 

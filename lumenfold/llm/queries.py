@@ -83,6 +83,72 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Sizes, water-filled targets and the systematic sample along (size class, hash of the id).
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, 2 * source_size AS cap, ([5, 2, 1])[((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1] AS weight FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+    / (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w
+), t AS (
+  SELECT source, source_size, CASE WHEN cap < level * weight OR free IS NULL THEN cap::DOUBLE ELSE least(free * weight, cap::DOUBLE) END AS target
+  FROM (SELECT *, max(CASE WHEN NOT cap < level * weight THEN level END) OVER () AS free FROM l)
+), r AS (
+  SELECT d.*, source_size, target, least(CASE WHEN source_size > 0 THEN floor(target / source_size * 1048576)::BIGINT ELSE 0 END, 2097152)::BIGINT AS e,
+    length(size::VARCHAR) * 100 + rpad((size::VARCHAR)[1:2], 2, '0')::INT AS class, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+    ('0x' || md5('lumenfold|' || coalesce(d.source, ''))[1:8])::BIGINT % 1048576 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT *, (sum(e) OVER (PARTITION BY source ORDER BY class, h, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT + u AS e1 FROM r
+)
+SELECT doc_id, size, source_size, target, ((e1 // 1048576 - (e1 - e) // 1048576) * size)::BIGINT AS taken FROM p
+"""
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM g
+"""
+
+#: The measures, and the rules in any order.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], chr(1)))) AS gram, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d
+), often AS (
+  SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM often, range(5) AS r(k) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, t, w, lines, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines
+  FROM d
+), m AS (
+  SELECT f.*, (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM f LEFT JOIN covered USING (doc_id)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR NOT (2 * n_words <= word_chars AND word_chars <= 16 * n_words) OR n_symbols > n_words OR 2 * n_dup_lines > len(lines)
+    OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) < n_words
+    OR (n_words >= 50 AND 3 * list_max(map_values(list_histogram(w))) > n_words)
+    OR (len(lines) >= 5 AND 10 * len(list_filter(full_lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) > 9 * len(lines))
+    OR (len(lines) >= 5 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines))) AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express on whole tables."""
-    return {}
+    return {"op4_source_mix": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_round_trip": OP9_SQL}

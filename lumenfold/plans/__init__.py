@@ -1,6 +1,6 @@
 """Named queries; importing the package registers all of them."""
 
-from lumenfold.plans import ingest, relational, scalars
+from lumenfold.plans import ingest, relational, scalars, similarity
 from lumenfold.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "relational", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "ingest", "relational", "scalars", "similarity"]

@@ -1,9 +1,7 @@
-"""Helpers of the corpus operators: shared storage, word definition, batching."""
+"""Helpers of the corpus operators: word definition and batching, beside the library's storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,40 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The separators of words: space and tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
+from lumenfold.sources.storage import dropped, fresh_path, shared_dir, written
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/lumenfold/{uuid.uuid4().hex}/{name}"
+__all__ = ["WORD", "dropped", "fresh_path", "rows_of", "shared_dir", "table", "word_count", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: the lineage ends there and
-    a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table of written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: The separators of words: space and tab to carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

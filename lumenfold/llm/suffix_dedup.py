@@ -9,7 +9,7 @@ there is about one for each 150 bytes of text. Ranges of equal anchors fall into
 (nothing repeats), the whole range is found again (all of it repeats), or it differs from the others of
 its anchor somewhere (the ends of copied passages). The last kind is compared byte by byte, along its
 anchor, with each different range of that anchor; where an anchor has too many different ranges for one
-task, its windows are halved by their distance to the anchor until they repeat as a whole, are
+task, its windows are cut by their distance to the anchor until they repeat as a whole, are
 alone, or are few. So counting does nearly all the work, frequent passages are summed before
 they are shuffled, and no task ever holds an unbounded group.
 
@@ -35,6 +35,8 @@ GRAM = 100
 #: Different ranges of an anchor that one task compares.
 FEW = 128
 SEGMENT = 1 << 21
+#: Parts into which the windows of a crowded anchor are cut at a time.
+SPLIT = 8
 U = np.uint64
 _P, _P_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 
@@ -111,20 +113,20 @@ def _all_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (uid, lo, hi, anchor, g, w) with the bytes of each range."""
-    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "anchor", "g", "w")).alias("places"))
+    """wanted (uid, lo, hi, anchor, g, w, m) with the bytes of each range."""
+    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "anchor", "g", "w", "m")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in rows_of(batches, "text"):
             rows: list[tuple] = []
             for uid, places, t in zip(part.column("uid").to_pylist(), part.column("places").to_pylist(), texts, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                rows += [(uid, p["lo"], p["hi"], p["anchor"], p["g"], p["w"], raw[p["lo"] : p["hi"] + length]) for p in places]
+                rows += [(uid, p["lo"], p["hi"], p["anchor"], p["g"], p["w"], p["m"], raw[p["lo"] : p["hi"] + length]) for p in places]
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "lo", "hi", "anchor", "g", "w", "content"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "lo", "hi", "anchor", "g", "w", "m", "content"])
 
-    return docs.select("uid", "text").join(lists, "uid").mapInArrow(cut, "uid long, lo int, hi int, anchor int, g long, w int, content binary")
+    return docs.select("uid", "text").join(lists, "uid").mapInArrow(cut, "uid long, lo int, hi int, anchor int, g long, w int, m long, content binary")
 
 
 def compare(rows: list[tuple], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
@@ -190,41 +192,44 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("g", "uid", "lo", "hi", "anchor", "w", "content").repartition("g").sortWithinPartitions("g", "uid", "lo").mapInArrow(run, "uid long, lo int, hi int")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(g, r, c, x, m, least) of each content r that is not alone in its group g: c its number, x one place, m the group's contents, least the smallest number."""
+    each = rows.groupBy("g", "r").agg(F.sum("w").alias("c"), F.min(F.struct("uid", "lo")).alias("x"))
+    group = each.groupBy("g").agg(F.sum("c").alias("_n"), F.count("*").alias("m"), F.min("c").alias("least")).where("_n > 1").drop("_n")
+    return each.join(group, "g")
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
     """(uid, lo, hi): windows lo to hi of the document start at places where a repeated string starts. docs: (uid, text)."""
     spark = docs.sparkSession
     found = written(_all_ranges(docs, length, gram), "ranges")
-    equal = found.groupBy("g", "r").agg(F.count("*").alias("c"))
-    again = equal.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("m")).where("n > 1").drop("n")
-    kinds = written(equal.join(again, "g"), "kinds")
+    kinds = written(_counted(found.withColumn("w", F.lit(1))), "kinds")
     placed = written(found.join(kinds, ["g", "r"]), "placed")
     dropped(spark, found)
     whole = placed.where("c > 1").select("uid", "lo", "hi")
-    first = placed.where("c > 1 and m > 1").groupBy("g", "r").agg(F.min(F.struct("uid", "lo", "hi", "anchor")).alias("x")).select("x.*", "g", F.lit(2).alias("w"))
-    wanted = placed.where("c = 1 and m > 1").select("uid", "lo", "hi", "anchor", "g", F.lit(1).alias("w")).unionByName(first)
-    rows = written(_contents(docs, wanted, length), "contents")
+    mixed = placed.where("m > 1 and least = 1")
+    alone = mixed.where("c = 1").select("uid", "lo", "hi", "anchor", "g", "m", F.lit(1).alias("w"))
+    first = mixed.where("c > 1").groupBy("g", "r", "m").agg(F.min(F.struct("uid", "lo", "hi", "anchor")).alias("x")).select("x.*", "g", "m", F.lit(2).alias("w"))
+    rows = written(_contents(docs, alone.unionByName(first), length), "contents")
     parts, width = [whole], 1 << (length - gram).bit_length()
-    while True:
-        size = rows.groupBy("g").agg(F.count("*").alias("m"), F.min("w").alias("open")).where("m > 1 and open = 1").drop("open")
-        sized = rows.join(size, "g")
-        parts.append(_compared(sized.where(F.col("m") <= few), length))
-        large = sized.where(F.col("m") > few).drop("m")
-        if width == 1 or not large.limit(1).count():
+    while width > 1:
+        parts.append(_compared(rows.where(F.col("m") <= few), length))
+        large = rows.where(F.col("m") > few)
+        if not large.limit(1).count():
             break
-        width //= 2
-        # distance of a window to the anchor: anchor - window, halved into stretches of `width`
+        width = max(1, width // SPLIT)
+        # distance of a window to the anchor: anchor - window, cut into stretches of `width`
         near, far = F.col("anchor") - F.col("hi"), F.col("anchor") - F.col("lo")
-        halves = large.withColumn("_i", F.explode(F.sequence(F.floor(near / width), F.floor(far / width))))
+        cut = large.withColumn("_i", F.explode(F.sequence(F.floor(near / width), F.floor(far / width))))
         lo = F.greatest(F.col("lo"), (F.col("anchor") - (F.col("_i") + 1) * width + 1).cast("int"))
         hi = F.least(F.col("hi"), (F.col("anchor") - F.col("_i") * width).cast("int"))
-        halves = halves.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("content", F.substring("content", F.col("_lo") - F.col("lo") + 1, F.col("_hi") - F.col("_lo") + length))
-        halves = halves.select("uid", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "anchor", F.xxhash64("g", F.lit(width), "_i").alias("g"), "w", "content", F.md5("content").alias("r"))
-        halves = written(halves, "halves")
-        count = halves.groupBy("g", "r").agg(F.sum("w").alias("c"), F.min(F.struct("uid", "lo", "hi", "anchor", "w")).alias("x"))
-        marked = halves.join(count.where("c > 1").select("g", "r"), ["g", "r"])
-        parts.append(marked.where("w = 1").select("uid", "lo", "hi"))
-        one = count.select("g", "r", F.col("x.uid").alias("uid"), F.col("x.lo").alias("lo"), F.least(F.col("c"), F.lit(2)).cast("int").alias("w2"))
-        rows = written(halves.join(one, ["g", "r", "uid", "lo"]).select("uid", "lo", "hi", "anchor", "g", F.col("w2").alias("w"), "content").dropDuplicates(["g", "uid", "lo"]), "halves")
+        cut = cut.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("content", F.substring("content", F.col("_lo") - F.col("lo") + 1, F.col("_hi") - F.col("_lo") + length))
+        cut = written(cut.select("uid", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "anchor", F.xxhash64("g", F.lit(width), "_i").alias("g"), "w", "content", F.md5("content").alias("r")), "cut")
+        level = written(cut.join(_counted(cut), ["g", "r"]), "level")
+        dropped(spark, cut)
+        parts.append(level.where("c > 1 and w = 1").select("uid", "lo", "hi"))
+        one = (F.col("uid") == F.col("x.uid")) & (F.col("lo") == F.col("x.lo"))
+        rows = level.where("m > 1 and least = 1").where(one).select("uid", "lo", "hi", "anchor", "g", F.least(F.col("c"), F.lit(2)).cast("int").alias("w"), "m", "content")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

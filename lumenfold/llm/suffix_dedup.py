@@ -2,16 +2,22 @@
 
 Every byte that lies in a string of LENGTH bytes which also starts anywhere else goes, in all places.
 
-The places to compare are a sparse set. A window is LENGTH bytes; its anchor is the GRAM bytes inside it
-with the smallest hash, the leftmost of equals. Equal windows have equal anchors at equal places, so
-only windows around equal anchors need comparing. Consecutive windows of one anchor make a range;
-there is about one for each 150 bytes of text. Ranges of equal anchors fall into three kinds: the anchor is found once
-(nothing repeats), the whole range is found again (all of it repeats), or it differs from the others of
-its anchor somewhere (the ends of copied passages). The last kind is compared byte by byte, along its
-anchor, with each different range of that anchor; where an anchor has too many different ranges for one
-task, its windows are cut by their distance to the anchor until they repeat as a whole, are
-alone, or are few. So counting does nearly all the work, frequent passages are summed before
-they are shuffled, and no task ever holds an unbounded group.
+The index is a logarithmic family of sparse suffix arrays. A window is LENGTH bytes; its anchor is the
+GRAM bytes inside it with the smallest hash, the leftmost of equals. Equal windows have equal anchors
+at equal places, so only the suffixes that start at anchors are indexed, about one for each 150 bytes of
+text; the consecutive windows of one anchor make its range. An array orders its suffixes by
+fingerprints, of the anchor and then of the range, as only equality counts here, and keeps a number for each.
+Documents come in BATCHES; each batch gets its array, and arrays of equal size merge, so level k holds
+2 ** k batches or nothing. One merge-scan over the levels that remain sorts the ranges into three kinds: the
+anchor is found once (nothing repeats), the whole range is found again (all of it repeats), or it
+differs from the others of its anchor somewhere (the ends of copied passages). The scan comes after the
+last batch, because a later batch can make a string of an earlier one repeat.
+
+The last kind is compared window by window with the different ranges of its anchor, by sorting the
+hashes of the windows. Where an anchor has more different ranges than one task should hold, its windows
+are first cut by their distance to the anchor until they repeat as a whole, are alone, or are few. So
+counting does nearly all the work, frequent passages are summed before they are shuffled, and no task
+ever holds an unbounded group.
 
 Defined cases: null text is empty; documents under LENGTH bytes keep everything; very long texts are
 taken in overlapping segments; rows that repeat count as places of their own; matches never cross
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +39,10 @@ from .shared import dropped, rows_of, written
 
 LENGTH = 400
 GRAM = 100
-#: Different ranges of an anchor that one task compares.
-FEW = 128
+#: Batches of documents that enter the index one after the other.
+BATCHES = 4
+#: Different ranges of an anchor that one task compares, of 2 * LENGTH bytes at most each.
+FEW = 8_192
 SEGMENT = 1 << 21
 #: Parts into which the windows of a crowded anchor are cut at a time.
 SPLIT = 8
@@ -55,6 +64,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_cached_powers = lru_cache(8)(_powers)
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each run of `width` values."""
     size = -(-len(x) // width) * width
@@ -129,38 +141,31 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.select("uid", "text").join(lists, "uid").mapInArrow(cut, "uid long, lo int, hi int, anchor int, g long, w int, m long, content binary")
 
 
+def _windows(content: bytes, length: int) -> np.ndarray:
+    """Hash of each window of the content."""
+    data = np.frombuffer(content, np.uint8)
+    power, back = _cached_powers(1 << len(data).bit_length())
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + U(1)) * power[: len(data)], out=total[1:])
+    return _mix((total[length:] - total[:-length]) * back[: len(data) - length + 1])
+
+
 def compare(rows: list[tuple], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """(uid, first, last) of the windows of each open row (w = 1) that another row of its anchor has too.
 
     rows: (g, uid, lo, hi, anchor, w, content), with different contents or places.
     """
-    left = max(r[4] - r[2] for r in rows)
-    width = left + max(r[3] - r[4] for r in rows) + length
-    grid = np.zeros((len(rows), width), np.int16)
-    for i, (_, _, lo, _, anchor, _, content) in enumerate(rows):
-        begin = left - (anchor - lo)
-        grid[i] = -2 - i  # equal to no byte of another row
-        grid[i, begin : begin + len(content)] = np.frombuffer(content, np.uint8)
-    for i, (_, uid, lo, hi, anchor, w, _) in enumerate(rows):
+    hashes = [_windows(r[6], length) for r in rows]
+    _, name, many = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    edge = np.zeros(1, bool)
+    end = 0
+    for (_, uid, lo, _, _, w, _), own in zip(rows, hashes, strict=True):
+        begin, end = end, end + len(own)
         if w > 1:
             continue
-        same = grid == grid[i]
-        same[i] = False
-        l = np.where((~same[:, :left]).any(1), np.argmax(~same[:, :left][:, ::-1], axis=1), left) if left else np.zeros(len(rows), int)  # noqa: E741
-        r = np.where((~same[:, left:]).any(1), np.argmax(~same[:, left:], axis=1), width - left)
-        first, last = np.maximum(lo, anchor - l), np.minimum(hi, anchor + r - length)
-        spans = sorted({(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if a <= b})
-        at = None
-        for a, b in spans:
-            if at is None:
-                at = [a, b]
-            elif a <= at[1] + 1:
-                at[1] = max(at[1], b)
-            else:
-                yield uid, at[0], at[1]
-                at = [a, b]
-        if at:
-            yield uid, at[0], at[1]
+        turn = np.flatnonzero(np.diff(np.concatenate([edge, many[name[begin:end]] > 1, edge])))
+        for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            yield uid, lo + a, lo + b - 1
 
 
 def _compared(rows: DataFrame, length: int) -> DataFrame:
@@ -192,18 +197,53 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("g", "uid", "lo", "hi", "anchor", "w", "content").repartition("g").sortWithinPartitions("g", "uid", "lo").mapInArrow(run, "uid long, lo int, hi int")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """(g, r, c, x, m, least) of each content r that is not alone in its group g: c its number, x one place, m the group's contents, least the smallest number."""
-    each = rows.groupBy("g", "r").agg(F.sum("w").alias("c"), F.min(F.struct("uid", "lo")).alias("x"))
+class Levels:
+    """Arrays (g, r, c) of suffixes: c is the number of places of content r at anchor g. Level k holds 2 ** k batches or nothing."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame | None] = []
+
+    def add(self, suffixes: DataFrame) -> None:
+        """Index a batch (g, r); as long as its level is taken, the two arrays become one of the next level."""
+        array = written(self._merged(suffixes.select("g", "r", F.lit(1).cast("long").alias("c"))), "array")
+        level = 0
+        while level < len(self.held) and self.held[level] is not None:
+            parts = [self.held[level], array]
+            array = written(self._merged(parts[0].unionByName(parts[1])), "array")
+            for p in parts:
+                dropped(array.sparkSession, p)
+            self.held[level] = None
+            level += 1
+        self.held += [None] * (level + 1 - len(self.held))
+        self.held[level] = array
+
+    @staticmethod
+    def _merged(arrays: DataFrame) -> DataFrame:
+        return arrays.groupBy("g", "r").agg(F.sum("c").alias("c")).sortWithinPartitions("g", "r")
+
+    def scanned(self) -> DataFrame:
+        """(g, r, c, m, least) of each content that is not alone at its anchor: m is the number of the anchor's contents, least the smallest number of places."""
+        there = [x for x in self.held if x is not None]
+        each = there[0]
+        for x in there[1:]:
+            each = each.unionByName(x)
+        return _grouped(each.groupBy("g", "r").agg(F.sum("c").alias("c")) if len(there) > 1 else each)
+
+
+def _grouped(each: DataFrame) -> DataFrame:
+    """each (g, r, c, ...) with m and least of its group g, without groups of one place."""
     group = each.groupBy("g").agg(F.sum("c").alias("_n"), F.count("*").alias("m"), F.min("c").alias("least")).where("_n > 1").drop("_n")
     return each.join(group, "g")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW, batches: int = BATCHES) -> DataFrame:
     """(uid, lo, hi): windows lo to hi of the document start at places where a repeated string starts. docs: (uid, text)."""
     spark = docs.sparkSession
     found = written(_all_ranges(docs, length, gram), "ranges")
-    kinds = written(_counted(found.withColumn("w", F.lit(1))), "kinds")
+    levels = Levels()
+    for b in range(batches):
+        levels.add(found.where(F.pmod("uid", F.lit(batches)) == b))
+    kinds = written(levels.scanned(), "kinds")
     placed = written(found.join(kinds, ["g", "r"]), "placed")
     dropped(spark, found)
     whole = placed.where("c > 1").select("uid", "lo", "hi")
@@ -225,7 +265,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int =
         hi = F.least(F.col("hi"), (F.col("anchor") - F.col("_i") * width).cast("int"))
         cut = cut.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("content", F.substring("content", F.col("_lo") - F.col("lo") + 1, F.col("_hi") - F.col("_lo") + length))
         cut = written(cut.select("uid", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "anchor", F.xxhash64("g", F.lit(width), "_i").alias("g"), "w", "content", F.md5("content").alias("r")), "cut")
-        level = written(cut.join(_counted(cut), ["g", "r"]), "level")
+        each = cut.groupBy("g", "r").agg(F.sum("w").alias("c"), F.min(F.struct("uid", "lo")).alias("x"))
+        level = written(cut.join(_grouped(each), ["g", "r"]), "level")
         dropped(spark, cut)
         parts.append(level.where("c > 1 and w = 1").select("uid", "lo", "hi"))
         one = (F.col("uid") == F.col("x.uid")) & (F.col("lo") == F.col("x.lo"))

@@ -33,9 +33,9 @@ NONE = np.iinfo(np.int64).max
 #: Longest piece in bytes that runs in lock-step.
 LOCKSTEP = 64
 #: Finished pieces that a task keeps.
-KEEP = 400_000
+KEEP = 100_000
 #: Pieces that are in memory at once for one text.
-BLOCK = 200_000
+BLOCK = 50_000
 
 
 @lru_cache(2)
@@ -229,7 +229,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge, cut = merger(held.value), regex.compile(pattern)
-        for part, texts in rows_of(batches, text, 4 << 20):
+        for part, texts in rows_of(batches, text):
             packed = merge.encode(texts, cut)
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(packed, pa.binary())], [*names, into])
 

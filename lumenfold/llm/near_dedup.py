@@ -12,8 +12,10 @@ are the candidate groups. On the full sets, recomputed from the whole texts of t
 group is compared exhaustively, pair by pair; a group too large for a task is compared node by node of the
 trees instead. Only spanning forests of confirmed links leave a task, never all pairs of a group.
 
-A node whose members are so alike that branching does not shrink it is cut into blocks, and the same
-few of its members stand in every block, so the blocks stay linked.
+A node whose members are so alike that branching does not shrink it is cut into blocks, other ones in
+each tree, and a few of its members stand in every block, so near copies are linked in one step. What
+this leaves apart is then compared in full: the members of such a node are dealt to blocks by their
+component so far, and every two blocks that do not lie in one component meet in a task of their own.
 
 Defined cases: null text, or text without a word, has an empty set, links with nothing and is kept;
 fewer words than a shingle has make one shingle; very long texts are shingled whole; rows that repeat an id and
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ TREES = 12
 NODE = 400
 CHILDREN, POSITIONS = 2, 3
 PIVOTS = 8
+#: Values of a slice of the exact comparison.
+SLICE = 4096
 #: A child with more of its node's members than this shows that branching does not help.
 TIGHT = 0.7
 _draw = np.random.default_rng(20)
@@ -101,11 +106,12 @@ def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(text).alias(text)).mapInArrow(run, "id long, n_shingles long, class binary, sketch array<int>")
 
 
-def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
-    """(node, class): the members of every small node of the trees, each with two at least."""
+def leaves(classes: DataFrame, trees: int, node: int) -> tuple[DataFrame, DataFrame]:
+    """(node, class) twice: the members of every small node of the trees and of the blocks of those that do
+    not shrink, each with two at least; and the whole members of the nodes that do not shrink."""
     roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * SKETCH // trees % SKETCH).alias("p")) for t in range(trees)))
     rows = classes.withColumn("_root", F.explode(roots)).select("class", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), F.lit(None).cast("long").alias("up"))
-    parts, depth = [], 0
+    parts, whole, depth = [], [rows.select("node", "class").limit(0)], 0
     while True:
         size = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("was")).where("n > 1")
         level = written(rows.join(size, "node").select("node", "class", "n", "was"), "level")
@@ -115,11 +121,12 @@ def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
             break
         tight = F.coalesce(F.col("n") > TIGHT * F.col("was"), F.lit(False)) | F.lit(depth >= SKETCH)
         stuck = large.where(tight)
+        whole.append(stuck.select("node", "class"))
         blocks = F.ceil(F.col("n") / (node - 2 * PIVOTS)).cast("int")
         named = lambda b: F.xxhash64("node", F.lit("block"), b).alias("node")
-        first = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("class"), "class"))
+        first = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "class"), "class"))
         pivots = stuck.withColumn("_r", first).where(F.col("_r") <= PIVOTS)
-        own = stuck.select(named(F.pmod(F.xxhash64("class", F.lit("block")), blocks)), "class")
+        own = stuck.select(named(F.pmod(F.xxhash64("node", "class", F.lit("block")), blocks)), "class")
         shown = pivots.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).select(named(F.col("_b")), "class")
         parts.append(own.unionByName(shown).distinct())
         branch = large.where(~tight).join(classes, "class")
@@ -128,10 +135,29 @@ def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
         tokens = [F.element_at("sketch", p + 1) for p in spots]
         rows = turn.select("class", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("n").alias("up"))
         depth += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, whole)
+
+
+def block_pairs(stuck: DataFrame, label: DataFrame, block: int) -> DataFrame:
+    """(unit, class): every two blocks of a node that are not in one component, as a unit. stuck: node, class; label: node (a class), label.
+
+    A component of some size in a node has blocks of its own, the others share blocks; two blocks of
+    one component are left out, since their members are linked already.
+    """
+    known = stuck.join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    part = known.groupBy("node", "label").agg(F.count("*").alias("n"))
+    total = part.groupBy("node").agg(F.count("*").alias("_parts"), F.sum(F.when(2 * F.col("n") < block, F.col("n")).otherwise(0)).alias("_rest"))
+    apart = part.join(total.where("_parts > 1"), "node")
+    own = F.when(2 * F.col("n") >= block, F.col("label"))
+    spread = F.when(own.isNull(), F.pmod(F.xxhash64("node", "label"), F.ceil(F.col("_rest") / block))).otherwise(F.pmod(F.xxhash64("node", "class"), F.ceil(F.col("n") / block)))
+    dealt = written(known.join(apart, ["node", "label"]).select("node", "class", own.alias("own"), F.xxhash64(own, spread).alias("block")), "dealt")
+    blocks = dealt.select("node", "own", "block").distinct()
+    other = blocks.select("node", F.col("own").alias("_own"), F.col("block").alias("_block"))
+    same = F.coalesce(F.col("own") == F.col("_own"), F.lit(False))
+    pairs = blocks.join(other, "node").where((F.col("block") <= F.col("_block")) & ~same)
+    unit = F.xxhash64("node", "block", "_block").alias("unit")
+    both = pairs.select("node", unit, F.explode(F.array_distinct(F.array("block", "_block"))).alias("block"))
+    return dealt.join(both, ["node", "block"]).select("unit", "class")
 
 
 def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -201,22 +227,27 @@ def _alike_sketches(least: int) -> Callable[[list], list[tuple[int, int]]]:
 
 def _alike_sets(percent: int) -> Callable[[list], list[tuple[int, int]]]:
     def compare(rows: list) -> list[tuple[int, int]]:
-        """Exact: a row at a time against all later ones, skipping pairs whose sizes cannot reach the threshold and pairs already joined."""
+        """Exact: the sizes of all intersections, as products of slices of the 0/1 matrix of rows and shared values."""
         size = np.array([len(r) for r in rows])
-        top = np.arange(len(rows))
         flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        first = np.flatnonzero(new)
+        shared = np.repeat(np.diff(np.append(first, len(flat))) > 1, np.diff(np.append(first, len(flat))))
+        owner, value = owner[shared], np.cumsum(new[shared]) - 1
+        many = int(value[-1]) + 1 if len(value) else 0
+        both = np.zeros((len(rows), len(rows)))
+        for low in range(0, many, SLICE):
+            a, b = np.searchsorted(value, [low, low + SLICE])
+            has = np.zeros((len(rows), min(SLICE, many - low)), np.float32)
+            has[owner[a:b], value[a:b] - low] = 1
+            both += has @ has.T
+        fine = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+        top = np.arange(len(rows))
         kept = []
         for i in range(len(rows) - 1):
-            later = np.arange(len(rows)) > i
-            apart = later & (top != top[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if not apart.any():
-                continue
-            use = apart[owner]
-            values, whose = flat[use], owner[use]
-            at = np.searchsorted(rows[i], values)
-            at[at == size[i]] = 0
-            both = np.bincount(whose[rows[i][at] == values], minlength=len(rows))
-            for j in np.flatnonzero(apart & (100 * both >= percent * (size + size[i] - both))):
+            for j in np.flatnonzero(fine[i] & (top != top[i])):
                 if top[i] != top[j]:
                     kept.append((i, int(j)))
                     top[top == top[j]] = top[i]
@@ -229,7 +260,8 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
     """Confirmed links (a, b) between classes, enough of them to hold every component together."""
     classes = rows.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"))
     classes = written(classes, "classes")
-    small = written(leaves(classes.select("class", "sketch"), trees, node), "leaves")
+    small, stuck = leaves(classes.select("class", "sketch"), trees, node)
+    small, stuck = written(small, "leaves"), written(stuck, "stuck")
     j = percent / 100
     least = max(1, int(SKETCH * (j - 4 * (j * (1 - j) / SKETCH) ** 0.5)))
     values = lambda a: list(np.asarray(a.values[a.offsets[0].as_py() : a.offsets[-1].as_py()] if len(a) else a.values, np.int32).reshape(-1, SKETCH))
@@ -240,7 +272,6 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
     one = sized.where(F.col("n") <= node).select("class", F.xxhash64("group").alias("unit"))
     many = sized.where(F.col("n") > node).join(small, "class").select("class", F.col("node").alias("unit"))
     units = one.unionByName(many)
-    wanted = groups.join(classes, "class").select("class", F.col("first").alias("id"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in rows_of(batches, "text"):
@@ -248,9 +279,20 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
             here = [(c, s.tobytes()) for c, s in zip(part.column("class").to_pylist(), sets, strict=True) if _digest(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in here], pa.binary()), pa.array([s for _, s in here], pa.binary())], ["class", "set"])
 
-    sets = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").select("class", "text").mapInArrow(full, "class binary, set binary")
     unpack = lambda a: [np.frombuffer(x, np.uint64) for x in a.to_pylist()]
-    return _grouped(units.join(sets, "class"), "unit", "set", unpack, _alike_sets(percent))
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def confirmed(units: DataFrame, members: DataFrame) -> DataFrame:
+        wanted = members.join(classes, "class").select("class", F.col("first").alias("id"))
+        sets = texts.join(wanted, "id").select("class", "text").mapInArrow(full, "class binary, set binary")
+        return _grouped(units.join(sets, "class"), "unit", "set", unpack, _alike_sets(percent))
+
+    found = confirmed(units, groups.select("class"))
+    if not stuck.limit(1).count():
+        return found
+    found = written(found, "confirmed")
+    pairs = written(block_pairs(stuck, components(found), max(1, node // 2)), "pairs")
+    return found.unionByName(confirmed(pairs, pairs.select("class").distinct()))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, node: int = NODE) -> DataFrame:

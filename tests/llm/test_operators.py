@@ -115,6 +115,23 @@ def test_near_duplicates(spark, width, node):
     assert {k.doc_id for k in kept} == {c for _, _, c in exact_components(rows, width)}
 
 
+def test_near_copies_in_a_template(spark):
+    """Documents of one template, too alike to branch and too different to link, with single near copies among them."""
+    rnd = random.Random(11)
+    shared, rows = [f"t{k}" for k in range(80)], []
+    for i in range(300):
+        own = [f"u{i}_{k}" for k in range(13)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 6 == 0:
+            rows.append((1000 + i, " ".join(shared + own[:4] + [f"w{i}_{k}" for k in range(9)])))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, node=40).collect())
+    want = sorted(exact_components(rows, 5))
+    assert sum(i != c for i, _, c in want) == 50
+    assert got == want
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0

@@ -2,9 +2,12 @@
 
 Documents with the same set of word shingles are one class. Each class has a sketch of 64 minwise
 tokens. A tree sends a class down by chosen minwise tokens: the root by one position of the sketch, a
-node with too many members to two children, each by three further positions at once that the node itself
-picks; 2 is about 1 / 0.8 ** 3, so a pair at the threshold is expected to go down once at each level. Small nodes are compared exhaustively; TREES independent trees make a missed pair unlikely: a
-pair of similarity 0.8 misses a root with probability 0.2, and twelve of them with 4e-9.
+node with too many members to three children, each by three further positions at once that the node itself
+picks. A pair at the threshold goes down with a child with probability 0.8 ** 3, so it is expected 1.5 times
+in a level, and its chance of a tree does not fade with depth (with two children it would). Small nodes are
+compared exhaustively. Twelve trees miss a pair whose sketches agree in 0.8 of the positions with probability 7e-6
+at any depth. The trees share one sketch, which agrees in less for some pairs: over the binomial distribution of
+its agreement, a pair of similarity 0.8 is missed with probability 0.4% at 5 levels and 1.2% at 11.
 
 The comparison has two steps. On sketches, each node keeps a spanning forest of the pairs that may be
 similar enough (64 positions, four standard deviations below the threshold), and their components
@@ -43,7 +46,7 @@ from .words import U, hashed_words, mix
 SKETCH = 64
 TREES = 12
 NODE = 400
-CHILDREN, POSITIONS = 2, 3
+CHILDREN, POSITIONS = 3, 3
 PIVOTS = 8
 #: Values of a slice of the exact comparison.
 SLICE = 4096

@@ -132,6 +132,14 @@ def test_near_copies_in_a_template(spark):
     assert got == want
 
 
+def test_trees_keep_a_pair_at_any_depth():
+    """The chance that all trees miss a pair whose sketches agree in 0.8 of the positions, by levels of branching."""
+    live = 1.0
+    for _ in range(40):
+        live = 1 - (1 - 0.8**near_dedup.POSITIONS * live) ** near_dedup.CHILDREN
+        assert (1 - 0.8 * live) ** near_dedup.TREES < 1e-5
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0

@@ -118,12 +118,12 @@ def rematch_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("cluster_id is not null").select("idx", "cluster_id", F.round(1 - F.col("distance"), 4).alias("confidence"))
 
 
-def group_metrics(g: DataFrame) -> DataFrame:
-    """For each row and each other group of its gallery without the row's photo: nearest and farthest prototype; prototypes are the anchors, or all members where there is none."""
+def group_metrics(g: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """For each row (of g, unless others are given) and each other group of its gallery without the row's photo: nearest and farthest prototype; prototypes are the anchors, or all members where there is none."""
     has = g.groupBy("gallery", "cluster_id").agg(F.bool_or("is_anchor").alias("has_anchor"))
     proto = g.join(has, ["gallery", "cluster_id"]).where("is_anchor or not has_anchor").select("gallery", "cluster_id", "has_anchor", F.col("vec").alias("p_vec"), F.col("idx").alias("p_idx"))
     taken = g.select(F.col("gallery").alias("tg"), F.col("cluster_id").alias("tc"), F.col("photo_id").alias("tp")).distinct()
-    pairs = g.select("gallery", "idx", "vec", "photo_id", "is_anchor").join(proto, "gallery")
+    pairs = (g if rows is None else rows).select("gallery", "idx", "vec", "photo_id", "is_anchor").join(proto, "gallery")
     free = pairs.join(taken, (F.col("gallery") == F.col("tg")) & (F.col("cluster_id") == F.col("tc")) & (F.col("photo_id") == F.col("tp")), "left_anti")
     dist = cosine_distance(F.col("vec"), F.col("p_vec"))
     return free.where("is_anchor or has_anchor").withColumn("dist", dist).groupBy("idx", "is_anchor", "cluster_id", "has_anchor").agg(F.min("dist").alias("nearest"), F.max("dist").alias("farthest"))
@@ -155,15 +155,18 @@ def incremental_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("idx", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.round("distance", 9).alias("distance"))
 
 
+def assigned(held: DataFrame, fresh: DataFrame, merge: float, complete: float, attach: float, margin: float) -> DataFrame:
+    """(idx, gallery, cluster_id) of fresh faces: their choice among the groups as held before them; of the faces of a photo that choose one group the first by id joins it, the others join none."""
+    c = chosen(group_metrics(held, fresh), merge, complete, attach, margin).where("cluster_id is not null")
+    claim = F.row_number().over(W.partitionBy("gallery", "cluster_id", "photo_id").orderBy("idx"))
+    won = fresh.select("idx", "gallery", "photo_id").join(c, "idx").withColumn("_claim", claim).where("_claim = 1").select("idx", "cluster_id")
+    return fresh.select("idx", "gallery").join(won, "idx", "left")
+
+
 def incremental_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best faces assigned to the groups of the others; a face without a group starts its own, named by its id."""
     g = grouped(spark, sf_dir)
-    held, fresh = g.where("quality < 0.9"), g.where("quality >= 0.9")
-    proto = held.where("is_anchor").select("gallery", "cluster_id", F.lit(True).alias("has_anchor"), F.col("vec").alias("p_vec"))
-    dist = cosine_distance(F.col("vec"), F.col("p_vec"))
-    m = fresh.select("gallery", "idx", "vec", "is_anchor").join(proto, "gallery").withColumn("dist", dist).groupBy("idx", "is_anchor", "cluster_id", "has_anchor").agg(F.min("dist").alias("nearest"), F.max("dist").alias("farthest"))
-    c = chosen(m, MERGE, 1.25, ATTACH, MARGIN)
-    named = fresh.select("idx", "gallery").join(c, "idx", "left")
+    named = assigned(g.where("quality < 0.9"), g.where("quality >= 0.9"), MERGE, 1.25, ATTACH, MARGIN)
     return named.select("idx", "gallery", F.coalesce(F.col("cluster_id").cast("string"), F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("/", "gallery", "idx"), 256), 1, 12))).alias("cluster"))
 
 

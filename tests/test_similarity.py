@@ -13,7 +13,7 @@ from lumenfold.functions.vector import normalised
 from lumenfold.operators.folds import anchored_windows, paced
 from lumenfold.operators.graph import components
 from lumenfold.operators.similarity import bounded_edges, stable_pairs
-from lumenfold.plans.similarity import chosen, cluster_labels, decided
+from lumenfold.plans.similarity import assigned, chosen, cluster_labels, decided
 
 V = lambda d: [1 - d, math.sqrt(1 - (1 - d) ** 2)]
 DEG = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
@@ -98,6 +98,35 @@ def test_incremental_choice(spark):
     assert got == {1: None, 2: None, 3: "w", 4: None}
 
 
+def test_incremental_assign(spark):
+    """Against a fold in the order of ids: groups with the photo are skipped, weak-only groups count, a photo's second face is refused."""
+    rnd = random.Random(3)
+    held = [(i, DEG(60 * (i % 6) + rnd.uniform(-8, 8)), rnd.randrange(25), i % 6 != 5 and i % 3 != 1, 0, i % 6) for i in range(36)]
+    fresh = [(100 + i, DEG(60 * (i % 6) + rnd.uniform(-12, 12)), rnd.randrange(25), i % 4 != 0, 0, None) for i in range(60)]
+    kind = "idx long, vec array<double>, photo_id long, is_anchor boolean, gallery int, cluster_id long"
+    got = {r.idx: r.cluster_id for r in assigned(spark.createDataFrame(held, kind), spark.createDataFrame(fresh, kind).drop("cluster_id"), 0.3, 0.4, 0.3, 0.05).collect()}
+    want, photos = {}, {c: {h[2] for h in held if h[5] == c} for c in range(6)}
+    before = {c: set(p) for c, p in photos.items()}
+    for idx, vec, photo, anchor, _, _ in fresh:
+        scored = {}
+        for c in range(6):
+            strong = [h[1] for h in held if h[5] == c and h[3]]
+            if photo in before[c] or not (anchor or strong):
+                continue
+            dist = [1 - float(np.dot(vec, p)) for p in strong or [h[1] for h in held if h[5] == c]]
+            near, far = min(dist), max(dist)
+            ok = strong and near <= 0.3 if not anchor else (near <= 0.3 and far <= 0.4 if strong else far <= 0.3)
+            scored[c] = (near, bool(ok))
+        best = min(((d, c) for c, (d, ok) in scored.items() if ok), default=None)
+        want[idx] = best[1] if best and all(d - best[0] >= 0.05 for c, (d, _) in scored.items() if c != best[1]) else None
+        if want[idx] is not None and photo in photos[want[idx]]:
+            want[idx] = None
+        elif want[idx] is not None:
+            photos[want[idx]].add(photo)
+    assert got == want
+    assert {0, 5, None} <= set(want.values())
+
+
 @pytest.mark.parametrize(
     ("new", "old", "want"),
     [

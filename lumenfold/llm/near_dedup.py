@@ -15,10 +15,15 @@ are the candidate groups. On the full sets, recomputed from the whole texts of t
 group is compared exhaustively, pair by pair; a group too large for a task is compared node by node of the
 trees instead. Only spanning forests of confirmed links leave a task, never all pairs of a group.
 
-A node whose members are so alike that branching does not shrink it is cut into blocks, other ones in
-each tree, and a few of its members stand in every block, so near copies are linked in one step. What
-this leaves apart is then compared in full: the members of such a node are dealt to blocks by their
-component so far, and every two blocks that do not lie in one component meet in a task of their own.
+Large groups of near copies are contracted before the trees branch: the members of a large root are dealt
+to blocks, a few of them (pivots) stand in every block, and the links found there, confirmed on full sets, give
+components. Further turns take their pivots from the members outside a root's largest component, as long as
+they link a quarter of those. A pair within one component is known, so the trees only look for pairs across
+components: a node of one component ends, and a large node with few members outside its largest
+component compares these with all its members, block by block. Nothing is dropped by this.
+
+A node that branching does not shrink (its members are alike, yet not linked) is compared in full: every
+two of its blocks that do not lie in one component meet in a task of their own.
 
 Defined cases: null text, or text without a word, has an empty set, links with nothing and is kept;
 fewer words than a shingle has make one shingle; very long texts are shingled whole; rows that repeat an id and
@@ -34,8 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.graph import components
@@ -52,6 +56,9 @@ PIVOTS = 8
 SLICE = 4096
 #: A child with more of its node's members than this shows that branching does not help.
 TIGHT = 0.7
+#: Trees whose large roots are contracted, and the share of members outside the largest components that a turn may leave for another to follow.
+CONTRACT = 2
+PROGRESS = 0.75
 _draw = np.random.default_rng(20)
 _FACTOR = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -109,60 +116,82 @@ def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(text).alias(text)).mapInArrow(run, "id long, n_shingles long, class binary, sketch array<int>")
 
 
-def leaves(classes: DataFrame, trees: int, node: int) -> tuple[DataFrame, DataFrame]:
-    """(node, class) twice: the members of every small node of the trees and of the blocks of those that do
-    not shrink, each with two at least; and the whole members of the nodes that do not shrink."""
-    roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * SKETCH // trees % SKETCH).alias("p")) for t in range(trees)))
-    rows = classes.withColumn("_root", F.explode(roots)).select("class", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), F.lit(None).cast("long").alias("up"))
-    parts, whole, depth = [], [rows.select("node", "class").limit(0)], 0
-    while True:
-        size = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("was")).where("n > 1")
-        level = written(rows.join(size, "node").select("node", "class", "n", "was"), "level")
-        parts.append(level.where(F.col("n") <= node).select("node", "class"))
-        large = level.where(F.col("n") > node)
-        if not large.limit(1).count():
-            break
-        tight = F.coalesce(F.col("n") > TIGHT * F.col("was"), F.lit(False)) | F.lit(depth >= SKETCH)
-        stuck = large.where(tight)
-        whole.append(stuck.select("node", "class"))
-        blocks = F.ceil(F.col("n") / (node - 2 * PIVOTS)).cast("int")
-        named = lambda b: F.xxhash64("node", F.lit("block"), b).alias("node")
-        first = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "class"), "class"))
-        pivots = stuck.withColumn("_r", first).where(F.col("_r") <= PIVOTS)
-        own = stuck.select(named(F.pmod(F.xxhash64("node", "class", F.lit("block")), blocks)), "class")
-        shown = pivots.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).select(named(F.col("_b")), "class")
-        parts.append(own.unionByName(shown).distinct())
-        branch = large.where(~tight).join(classes, "class")
-        turn = branch.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
-        spots = [F.pmod(F.xxhash64("node", "_i", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(POSITIONS)]
-        tokens = [F.element_at("sketch", p + 1) for p in spots]
-        rows = turn.select("class", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("n").alias("up"))
-        depth += 1
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, whole)
+def roots(classes: DataFrame, trees: int, first: int) -> DataFrame:
+    """(class, lab, node, up) of each class in the first trees: a root is named by one minwise token."""
+    places = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * SKETCH // trees % SKETCH).alias("p")) for t in range(first)))
+    rows = classes.withColumn("_root", F.explode(places))
+    return rows.select("class", "lab", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), F.lit(None).cast("long").alias("up"))
 
 
-def block_pairs(stuck: DataFrame, label: DataFrame, block: int) -> DataFrame:
-    """(unit, class): every two blocks of a node that are not in one component, as a unit. stuck: node, class; label: node (a class), label.
+def unfinished(rows: DataFrame) -> DataFrame:
+    """rows (class, lab, node, up) of the nodes that hold more than one label, with n, the members of the node, and was, those of its parent."""
+    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("was"), F.min("lab").alias("_least"), F.max("lab").alias("_most"))
+    return rows.join(size.where("_least < _most").drop("_least", "_most"), "node").select("node", "class", "lab", "n", "was")
 
-    A component of some size in a node has blocks of its own, the others share blocks; two blocks of
-    one component are left out, since their members are linked already.
+
+def with_rest(rows: DataFrame) -> DataFrame:
+    """rows of nodes with top, the label that most members of the node have, and rest, the number of the others."""
+    part = rows.groupBy("node", "lab").agg(F.count("*").alias("_many"))
+    top = part.groupBy("node").agg(F.max(F.struct("_many", "lab")).alias("_top"), F.sum("_many").alias("_all"))
+    return rows.join(top.select("node", F.col("_top.lab").alias("top"), (F.col("_all") - F.col("_top._many")).alias("rest")), "node")
+
+
+def pivot_blocks(large: DataFrame, node: int, turn: int) -> DataFrame:
+    """(unit, class): the members of a large node in blocks, a few of those outside its largest component standing in every block."""
+    blocks = F.ceil(F.col("n") / (node - PIVOTS)).cast("long")
+    named = lambda b: F.xxhash64("node", F.lit(turn), b).alias("unit")
+    own = large.select(named(F.pmod(F.xxhash64("node", F.lit(turn), "class"), blocks)), "class")
+    draws = [F.min(F.struct((F.col("lab") == F.col("top")).alias("in"), F.xxhash64("node", F.lit(turn), F.lit(k), "class").alias("h"), F.col("class").alias("c"))) for k in range(PIVOTS)]
+    drawn = large.groupBy("node").agg(F.max("n").alias("n"), F.array(*draws).alias("_drawn")).withColumn("class", F.explode(F.array_distinct("_drawn.c")))
+    shown = drawn.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(named(F.col("_b")), "class")
+    return own.unionByName(shown).distinct()
+
+
+def block_pairs(stuck: DataFrame, block: int) -> DataFrame:
+    """(unit, class): every two blocks of a node that are not in one component, as a unit. stuck: node, class, lab, top.
+
+    A component of some size in a node has blocks of its own, the others share blocks. Two blocks of the
+    largest component are never paired, so a node with few others gives units in proportion to its members.
     """
-    known = stuck.join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    part = known.groupBy("node", "label").agg(F.count("*").alias("n"))
-    total = part.groupBy("node").agg(F.count("*").alias("_parts"), F.sum(F.when(2 * F.col("n") < block, F.col("n")).otherwise(0)).alias("_rest"))
-    apart = part.join(total.where("_parts > 1"), "node")
-    own = F.when(2 * F.col("n") >= block, F.col("label"))
-    spread = F.when(own.isNull(), F.pmod(F.xxhash64("node", "label"), F.ceil(F.col("_rest") / block))).otherwise(F.pmod(F.xxhash64("node", "class"), F.ceil(F.col("n") / block)))
-    dealt = written(known.join(apart, ["node", "label"]).select("node", "class", own.alias("own"), F.xxhash64(own, spread).alias("block")), "dealt")
-    blocks = dealt.select("node", "own", "block").distinct()
-    other = blocks.select("node", F.col("own").alias("_own"), F.col("block").alias("_block"))
+    part = stuck.groupBy("node", "lab", "top").agg(F.count("*").alias("_many"))
+    total = part.groupBy("node").agg(F.sum(F.when(2 * F.col("_many") < block, F.col("_many")).otherwise(0)).alias("_shared"))
+    own = F.when(2 * F.col("_many") >= block, F.col("lab"))
+    spread = F.when(own.isNull(), F.pmod(F.xxhash64("node", "lab"), F.ceil(F.col("_shared") / block))).otherwise(F.pmod(F.xxhash64("node", "class"), F.ceil(F.col("_many") / block)))
+    known = stuck.join(part.drop("top").join(total, "node"), ["node", "lab"])
+    dealt = written(known.select("node", "class", own.alias("own"), F.coalesce(own == F.col("top"), F.lit(False)).alias("most"), F.xxhash64(own, spread).alias("block")), "dealt")
+    blocks = dealt.groupBy("node", "own", "most", "block").count().drop("count")
+    other = blocks.select("node", F.col("own").alias("_own"), F.col("most").alias("_most"), F.col("block").alias("_block"))
     same = F.coalesce(F.col("own") == F.col("_own"), F.lit(False))
-    pairs = blocks.join(other, "node").where((F.col("block") <= F.col("_block")) & ~same)
+    pairs = blocks.where("not most").join(other, "node").where((F.col("_most") | (F.col("block") <= F.col("_block"))) & ~same)
     unit = F.xxhash64("node", "block", "_block").alias("unit")
     both = pairs.select("node", unit, F.explode(F.array_distinct(F.array("block", "_block"))).alias("block"))
     return dealt.join(both, ["node", "block"]).select("unit", "class")
 
 
+def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
+    """(unit, class): the members of every small node of the trees, and of the block pairs of large nodes
+    that hold few members outside one component or that branching does not shrink. classes: class, sketch, lab."""
+    rows, parts, depth = roots(classes, trees, trees), [], 0
+    while True:
+        level = written(unfinished(rows), "level")
+        parts.append(level.where(F.col("n") <= node).select(F.col("node").alias("unit"), "class"))
+        if not level.where(F.col("n") > node).limit(1).count():
+            break
+        large = written(with_rest(level.where(F.col("n") > node)), "large")
+        tight = F.coalesce(F.col("n") > TIGHT * F.col("was"), F.lit(False)) | F.lit(depth >= SKETCH)
+        paired = (F.col("rest") <= node) | tight
+        stuck = large.where(paired)
+        if stuck.limit(1).count():
+            parts.append(block_pairs(stuck, max(1, node // 2)))
+        branch = large.where(~paired).select("class", "lab", "node", "n").join(classes.select("class", "sketch"), "class")
+        turn = branch.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
+        spots = [F.pmod(F.xxhash64("node", "_i", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(POSITIONS)]
+        tokens = [F.element_at("sketch", p + 1) for p in spots]
+        rows = turn.select("class", "lab", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("n").alias("up"))
+        depth += 1
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     """The pairs that join what was apart."""
     top: dict[int, int] = {}
@@ -263,39 +292,44 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
     """Confirmed links (a, b) between classes, enough of them to hold every component together."""
     classes = rows.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"))
     classes = written(classes, "classes")
-    small, stuck = leaves(classes.select("class", "sketch"), trees, node)
-    small, stuck = written(small, "leaves"), written(stuck, "stuck")
+    sketches = classes.select("class", "sketch")
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     j = percent / 100
     least = max(1, int(SKETCH * (j - 4 * (j * (1 - j) / SKETCH) ** 0.5)))
     values = lambda a: list(np.asarray(a.values[a.offsets[0].as_py() : a.offsets[-1].as_py()] if len(a) else a.values, np.int32).reshape(-1, SKETCH))
-    maybe = _grouped(small.join(classes, "class"), "node", "sketch", values, _alike_sketches(least))
-    groups = written(components(written(maybe, "maybe").select("a", "b")).withColumnRenamed("node", "class").withColumnRenamed("label", "group"), "groups")
-    size = groups.groupBy("group").agg(F.count("*").alias("n"))
-    sized = groups.join(size, "group")
-    one = sized.where(F.col("n") <= node).select("class", F.xxhash64("group").alias("unit"))
-    many = sized.where(F.col("n") > node).join(small, "class").select("class", F.col("node").alias("unit"))
-    units = one.unionByName(many)
+    unpack = lambda a: [np.frombuffer(x, np.uint64) for x in a.to_pylist()]
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in rows_of(batches, "text"):
-            sets = shingles(texts, width)
+        for part, found in rows_of(batches, "text"):
+            sets = shingles(found, width)
             here = [(c, s.tobytes()) for c, s in zip(part.column("class").to_pylist(), sets, strict=True) if _digest(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in here], pa.binary()), pa.array([s for _, s in here], pa.binary())], ["class", "set"])
 
-    unpack = lambda a: [np.frombuffer(x, np.uint64) for x in a.to_pylist()]
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-
-    def confirmed(units: DataFrame, members: DataFrame) -> DataFrame:
-        wanted = members.join(classes, "class").select("class", F.col("first").alias("id"))
+    def confirmed(units: DataFrame) -> DataFrame:
+        """Links among the members of units (unit, class): candidates on sketches, then each group of them on full sets."""
+        maybe = written(_grouped(units.join(sketches, "class"), "unit", "sketch", values, _alike_sketches(least)), "maybe")
+        groups = written(components(maybe).select(F.col("node").alias("class"), F.col("label").alias("group")), "groups")
+        sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
+        one = sized.where(F.col("n") <= node).select(F.xxhash64("group").alias("unit"), "class")
+        many = units.join(sized.where(F.col("n") > node).select("class"), "class").select("unit", "class")
+        wanted = groups.select("class").join(classes.select("class", F.col("first").alias("id")), "class")
         sets = texts.join(wanted, "id").select("class", "text").mapInArrow(full, "class binary, set binary")
-        return _grouped(units.join(sets, "class"), "unit", "set", unpack, _alike_sets(percent))
-
-    found = confirmed(units, groups.select("class"))
-    if not stuck.limit(1).count():
-        return found
-    found = written(found, "confirmed")
-    pairs = written(block_pairs(stuck, components(found), max(1, node // 2)), "pairs")
-    return found.unionByName(confirmed(pairs, pairs.select("class").distinct()))
+        return written(_grouped(one.unionByName(many).join(sets, "class"), "unit", "set", unpack, _alike_sets(percent)), "confirmed")
+
+    found: list[DataFrame] = []
+    named, before, turn = written(sketches.withColumn("lab", F.xxhash64("class")), "named"), float("inf"), 0
+    while True:
+        large = written(with_rest(unfinished(roots(named, trees, min(trees, CONTRACT))).where(F.col("n") > node)).where(F.col("rest") > node), "large")
+        rest = large.groupBy("node").agg(F.max("rest").alias("rest")).agg(F.sum("rest")).first()[0] or 0
+        if not rest or rest > PROGRESS * before:
+            break
+        before = rest
+        found.append(confirmed(pivot_blocks(large, node, turn)))
+        label = components(reduce(DataFrame.unionByName, found))
+        joined = sketches.join(label.withColumnRenamed("node", "class"), "class", "left")
+        named, turn = written(joined.select("class", "sketch", F.xxhash64(F.coalesce("label", "class")).alias("lab")), "named"), turn + 1
+    found.append(confirmed(written(leaves(named, trees, node), "leaves")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, node: int = NODE) -> DataFrame:

@@ -9,17 +9,15 @@ compared exhaustively. Twelve trees miss a pair whose sketches agree in 0.8 of t
 at any depth. The trees share one sketch, which agrees in less for some pairs: over the binomial distribution of
 its agreement, a pair of similarity 0.8 is missed with probability 0.4% at 5 levels and 1.2% at 11.
 
-The comparison has two steps. On sketches, each node keeps a spanning forest of the pairs that may be
+The comparison has two steps. On sketches, each node keeps the components of the pairs that may be
 similar enough (64 positions, four standard deviations below the threshold), and their components
 are the candidate groups. On the full sets, recomputed from the whole texts of the candidates only, each
 group is compared exhaustively, pair by pair; a group too large for a task is compared node by node of the
-trees instead. Only spanning forests of confirmed links leave a task, never all pairs of a group.
+trees instead. What leaves a task is an edge from each member to the first of its component in the group, never all pairs.
 
 Large groups of near copies are contracted before the trees branch: the members of a large root are dealt
 to blocks, a few of them (pivots) stand in every block, and the links found there, confirmed on full sets, give
-components. Further turns take their pivots from the members outside a root's largest component, as long as
-they link a quarter of those. A pair within one component is known, so the trees only look for pairs across
-components: a node of one component ends, and a large node with few members outside its largest
+components. A pair within one component is known, so the trees only look for pairs across components: a node of one component ends, and a large node with few members outside its largest
 component compares these with all its members, block by block. Nothing is dropped by this.
 
 A node that branching does not shrink (its members are alike, yet not linked) is compared in full: every
@@ -56,9 +54,8 @@ PIVOTS = 8
 SLICE = 4096
 #: A child with more of its node's members than this shows that branching does not help.
 TIGHT = 0.7
-#: Trees whose large roots are contracted, and the share of members outside the largest components that a turn may leave for another to follow.
+#: Trees whose large roots are contracted.
 CONTRACT = 2
-PROGRESS = 0.75
 _draw = np.random.default_rng(20)
 _FACTOR = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -124,24 +121,20 @@ def roots(classes: DataFrame, trees: int, first: int) -> DataFrame:
 
 
 def unfinished(rows: DataFrame) -> DataFrame:
-    """rows (class, lab, node, up) of the nodes that hold more than one label, with n, the members of the node, and was, those of its parent."""
-    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("was"), F.min("lab").alias("_least"), F.max("lab").alias("_most"))
-    return rows.join(size.where("_least < _most").drop("_least", "_most"), "node").select("node", "class", "lab", "n", "was")
+    """rows (class, lab, node, up) of the nodes that hold more than one label, with n, the members of the node, was,
+    those of its parent, top, the label that most members have, and rest, the number of the others."""
+    part = rows.groupBy("node", "lab").agg(F.count("*").alias("_many"), F.max("up").alias("_up"))
+    size = part.groupBy("node").agg(F.sum("_many").alias("n"), F.max("_up").alias("was"), F.max(F.struct("_many", "lab")).alias("_top"))
+    size = size.where(F.col("n") > F.col("_top._many")).select("node", "n", "was", F.col("_top.lab").alias("top"), (F.col("n") - F.col("_top._many")).alias("rest"))
+    return rows.join(size, "node").select("node", "class", "lab", "n", "was", "top", "rest")
 
 
-def with_rest(rows: DataFrame) -> DataFrame:
-    """rows of nodes with top, the label that most members of the node have, and rest, the number of the others."""
-    part = rows.groupBy("node", "lab").agg(F.count("*").alias("_many"))
-    top = part.groupBy("node").agg(F.max(F.struct("_many", "lab")).alias("_top"), F.sum("_many").alias("_all"))
-    return rows.join(top.select("node", F.col("_top.lab").alias("top"), (F.col("_all") - F.col("_top._many")).alias("rest")), "node")
-
-
-def pivot_blocks(large: DataFrame, node: int, turn: int) -> DataFrame:
-    """(unit, class): the members of a large node in blocks, a few of those outside its largest component standing in every block."""
+def pivot_blocks(large: DataFrame, node: int) -> DataFrame:
+    """(unit, class): the members of a large node in blocks, a few of them standing in every block."""
     blocks = F.ceil(F.col("n") / (node - PIVOTS)).cast("long")
-    named = lambda b: F.xxhash64("node", F.lit(turn), b).alias("unit")
-    own = large.select(named(F.pmod(F.xxhash64("node", F.lit(turn), "class"), blocks)), "class")
-    draws = [F.min(F.struct((F.col("lab") == F.col("top")).alias("in"), F.xxhash64("node", F.lit(turn), F.lit(k), "class").alias("h"), F.col("class").alias("c"))) for k in range(PIVOTS)]
+    named = lambda b: F.xxhash64("node", F.lit("block"), b).alias("unit")
+    own = large.select(named(F.pmod(F.xxhash64("node", "class"), blocks)), "class")
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(k), "class").alias("h"), F.col("class").alias("c"))) for k in range(PIVOTS)]
     drawn = large.groupBy("node").agg(F.max("n").alias("n"), F.array(*draws).alias("_drawn")).withColumn("class", F.explode(F.array_distinct("_drawn.c")))
     shown = drawn.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(named(F.col("_b")), "class")
     return own.unionByName(shown).distinct()
@@ -152,6 +145,7 @@ def block_pairs(stuck: DataFrame, block: int) -> DataFrame:
 
     A component of some size in a node has blocks of its own, the others share blocks. Two blocks of the
     largest component are never paired, so a node with few others gives units in proportion to its members.
+    A unit compares all its members, so a block needs no unit of its own unless its node has no other.
     """
     part = stuck.groupBy("node", "lab", "top").agg(F.count("*").alias("_many"))
     total = part.groupBy("node").agg(F.sum(F.when(2 * F.col("_many") < block, F.col("_many")).otherwise(0)).alias("_shared"))
@@ -160,9 +154,10 @@ def block_pairs(stuck: DataFrame, block: int) -> DataFrame:
     known = stuck.join(part.drop("top").join(total, "node"), ["node", "lab"])
     dealt = written(known.select("node", "class", own.alias("own"), F.coalesce(own == F.col("top"), F.lit(False)).alias("most"), F.xxhash64(own, spread).alias("block")), "dealt")
     blocks = dealt.groupBy("node", "own", "most", "block").count().drop("count")
-    other = blocks.select("node", F.col("own").alias("_own"), F.col("most").alias("_most"), F.col("block").alias("_block"))
+    alone = blocks.groupBy("node").agg((F.count("*") == 1).alias("_alone"))
+    other = blocks.join(alone, "node").select("_alone", "node", F.col("own").alias("_own"), F.col("most").alias("_most"), F.col("block").alias("_block"))
     same = F.coalesce(F.col("own") == F.col("_own"), F.lit(False))
-    pairs = blocks.where("not most").join(other, "node").where((F.col("_most") | (F.col("block") <= F.col("_block"))) & ~same)
+    pairs = blocks.where("not most").join(other, "node").where((F.col("_most") | (F.col("block") < F.col("_block")) | F.col("_alone")) & ~same)
     unit = F.xxhash64("node", "block", "_block").alias("unit")
     both = pairs.select("node", unit, F.explode(F.array_distinct(F.array("block", "_block"))).alias("block"))
     return dealt.join(both, ["node", "block"]).select("unit", "class")
@@ -175,14 +170,14 @@ def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
     while True:
         level = written(unfinished(rows), "level")
         parts.append(level.where(F.col("n") <= node).select(F.col("node").alias("unit"), "class"))
-        if not level.where(F.col("n") > node).limit(1).count():
+        large = level.where(F.col("n") > node)
+        if not large.limit(1).count():
             break
-        large = written(with_rest(level.where(F.col("n") > node)), "large")
         tight = F.coalesce(F.col("n") > TIGHT * F.col("was"), F.lit(False)) | F.lit(depth >= SKETCH)
         paired = (F.col("rest") <= node) | tight
         stuck = large.where(paired)
         if stuck.limit(1).count():
-            parts.append(block_pairs(stuck, max(1, node // 2)))
+            parts.append(block_pairs(stuck, max(1, 3 * node // 4)))
         branch = large.where(~paired).select("class", "lab", "node", "n").join(classes.select("class", "sketch"), "class")
         turn = branch.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
         spots = [F.pmod(F.xxhash64("node", "_i", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(POSITIONS)]
@@ -192,40 +187,38 @@ def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join what was apart."""
-    top: dict[int, int] = {}
+def _stars(many: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """An edge from each of the members 0 to many - 1 to the first of its component, where that is another one."""
+    top = list(range(many))
 
     def root(x: int) -> int:
-        while (y := top.get(x, x)) != x:
-            top[x] = x = top.get(y, y)
+        while top[x] != x:
+            top[x] = x = top[top[x]]
         return x
 
-    kept = []
     for a, b in pairs:
         ra, rb = root(a), root(b)
-        if ra != rb:
-            top[ra] = rb
-            kept.append((a, b))
-    return kept
+        top[max(ra, rb)] = min(ra, rb)
+    return [(root(x), x) for x in range(many) if root(x) != x]
 
 
 def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array], list], compare: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
-    """Edges (a, b) that compare() finds among the values of each group. Groups are of bounded size; a
-    partition is read in the order of its groups, one in memory at a time beside the batch."""
+    """Edges (group, a, b) that compare() finds among the values of each group, whose members come in order. Groups are of
+    bounded size; a partition is read in the order of its groups, one in memory at a time beside the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple[int, bytes, bytes]] = []
 
         def close() -> None:
             if len(held) > 1:
                 names = [h[1] for h in held]
-                out.extend((names[i], names[j]) for i, j in compare([h[2] for h in held]) if names[i] != names[j])
+                out.extend((held[0][0], names[i], names[j]) for i, j in compare([h[2] for h in held]) if names[i] != names[j])
             held.clear()
 
         def emit() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [group, "a", "b"])
             out.clear()
             return batch
 
@@ -240,7 +233,7 @@ def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array]
         close()
         yield emit()
 
-    return df.select(group, "class", column).repartition(group).sortWithinPartitions(group, "class").mapInArrow(run, "a binary, b binary")
+    return df.select(group, "class", column).repartition(group).sortWithinPartitions(group, "class").mapInArrow(run, f"{group} long, a binary, b binary")
 
 
 def _alike_sketches(least: int) -> Callable[[list], list[tuple[int, int]]]:
@@ -251,8 +244,8 @@ def _alike_sketches(least: int) -> Callable[[list], list[tuple[int, int]]]:
         found = []
         for i in range(len(block) - 1):
             same = (block[i + 1 :] == block[i]).sum(1)
-            found += [(-int(same[j]), i, i + 1 + int(j)) for j in np.flatnonzero(same >= least)]
-        return _forest((i, j) for _, i, j in sorted(found))
+            found += [(i, i + 1 + int(j)) for j in np.flatnonzero(same >= least)]
+        return _stars(len(block), iter(found))
 
     return compare
 
@@ -276,20 +269,13 @@ def _alike_sets(percent: int) -> Callable[[list], list[tuple[int, int]]]:
             has[owner[a:b], value[a:b] - low] = 1
             both += has @ has.T
         fine = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
-        top = np.arange(len(rows))
-        kept = []
-        for i in range(len(rows) - 1):
-            for j in np.flatnonzero(fine[i] & (top != top[i])):
-                if top[i] != top[j]:
-                    kept.append((i, int(j)))
-                    top[top == top[j]] = top[i]
-        return kept
+        return _stars(len(rows), zip(*(x.tolist() for x in np.nonzero(fine)), strict=True))
 
     return compare
 
 
 def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, percent: int, trees: int, node: int) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough of them to hold every component together."""
+    """(a, b) between classes that confirmed links join, enough of them to hold every component together."""
     classes = rows.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"))
     classes = written(classes, "classes")
     sketches = classes.select("class", "sketch")
@@ -305,31 +291,34 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
             here = [(c, s.tobytes()) for c, s in zip(part.column("class").to_pylist(), sets, strict=True) if _digest(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in here], pa.binary()), pa.array([s for _, s in here], pa.binary())], ["class", "set"])
 
+    def exact(units: DataFrame) -> DataFrame:
+        """Links among the members of units (unit, class) on full sets."""
+        wanted = units.select("class").distinct().join(classes.select("class", F.col("first").alias("id")), "class")
+        sets = texts.join(wanted, "id").select("class", "text").mapInArrow(full, "class binary, set binary")
+        return written(_grouped(units.join(sets, "class"), "unit", "set", unpack, _alike_sets(percent)).select("a", "b"), "links")
+
+    def candidates(units: DataFrame) -> DataFrame:
+        """The members of units that may have a link in their unit, (unit, class)."""
+        maybe = _grouped(units.join(sketches, "class"), "unit", "sketch", values, _alike_sketches(least))
+        return written(maybe.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates")
+
     def confirmed(units: DataFrame) -> DataFrame:
-        """Links among the members of units (unit, class): candidates on sketches, then each group of them on full sets."""
+        """Links among the members of units: candidates on sketches, then each group of them on full sets, a large group unit by unit."""
         maybe = written(_grouped(units.join(sketches, "class"), "unit", "sketch", values, _alike_sketches(least)), "maybe")
-        groups = written(components(maybe).select(F.col("node").alias("class"), F.col("label").alias("group")), "groups")
-        sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
+        groups = components(maybe.select("a", "b")).select(F.col("node").alias("class"), F.col("label").alias("group"))
+        sized = written(groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group"), "groups")
         one = sized.where(F.col("n") <= node).select(F.xxhash64("group").alias("unit"), "class")
-        many = units.join(sized.where(F.col("n") > node).select("class"), "class").select("unit", "class")
-        wanted = groups.select("class").join(classes.select("class", F.col("first").alias("id")), "class")
-        sets = texts.join(wanted, "id").select("class", "text").mapInArrow(full, "class binary, set binary")
-        return written(_grouped(one.unionByName(many).join(sets, "class"), "unit", "set", unpack, _alike_sets(percent)), "confirmed")
-
-    found: list[DataFrame] = []
-    named, before, turn = written(sketches.withColumn("lab", F.xxhash64("class")), "named"), float("inf"), 0
-    while True:
-        large = written(with_rest(unfinished(roots(named, trees, min(trees, CONTRACT))).where(F.col("n") > node)).where(F.col("rest") > node), "large")
-        rest = large.groupBy("node").agg(F.max("rest").alias("rest")).agg(F.sum("rest")).first()[0] or 0
-        if not rest or rest > PROGRESS * before:
-            break
-        before = rest
-        found.append(confirmed(pivot_blocks(large, node, turn)))
-        label = components(reduce(DataFrame.unionByName, found))
-        joined = sketches.join(label.withColumnRenamed("node", "class"), "class", "left")
-        named, turn = written(joined.select("class", "sketch", F.xxhash64(F.coalesce("label", "class")).alias("lab")), "named"), turn + 1
-    found.append(confirmed(written(leaves(named, trees, node), "leaves")))
-    return reduce(DataFrame.unionByName, found)
+        known = maybe.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
+        return exact(one.unionByName(known.join(sized.where(F.col("n") > node).select("class"), "class").select("unit", "class")))
+
+    named = sketches.withColumn("lab", F.xxhash64("class"))
+    large = written(unfinished(roots(named, trees, min(trees, CONTRACT))).where(F.col("n") > node), "large")
+    if not large.limit(1).count():
+        return confirmed(written(leaves(named, trees, node), "leaves"))
+    found = exact(candidates(pivot_blocks(large, node)))
+    label = components(found).select(F.col("node").alias("class"), "label")
+    named = written(sketches.join(label, "class", "left").select("class", "sketch", F.xxhash64(F.coalesce("label", "class")).alias("lab")), "named")
+    return found.unionByName(confirmed(written(leaves(named, trees, node), "leaves")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, node: int = NODE) -> DataFrame:

@@ -5,13 +5,14 @@ the longest phrases that the language's text contains; few phrases mean that the
 The phrases, times the bits that one phrase's address costs, over the text's length, estimate the
 cross entropy in bits a character, and the language with the smallest wins.
 
-The automata are dense tables (state x symbol), so a step of the parse is one lookup, taken at once
+The alphabet holds every letter of the training texts; all that is no letter is one symbol. The transitions
+of all automata stand in one sparse table, so a step of the parse is one lookup, taken at once
 for many blocks of many texts and for all languages. Blocks have 1,024 characters; phrases end with
 their block. Whole texts are parsed.
 
-fit() takes a bounded sample: of the labelled rows, by a hash of the id, so many documents of each
+fit() takes a bounded sample: of the labelled rows, by a hash of id and text, so many documents of each
 language that TRAIN_CHARS characters are there, PER_DOC of each document at most. The sample is all
-that is collected, languages x TRAIN_CHARS characters; everything else stays distributed.
+that is collected, about languages x 3 x TRAIN_CHARS characters; everything else stays distributed.
 
 Defined cases: null text, or text without a letter, gives `und` with score 0; without any labelled
 row every text does; equal entropies go to the language that sorts first; repeated rows get equal
@@ -21,7 +22,6 @@ labels teach nothing.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,15 +35,12 @@ from .shared import rows_of
 
 TRAIN_CHARS = 40_000
 PER_DOC = 1_000
-SYMBOLS = 48
 BLOCK = 1024
 
 
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: row state, column symbol, -1 where there is none."""
-    size = 2 * len(symbols) + 2
-    step = np.full((size, width), -1, np.int32)
-    rows = [dict() for _ in range(1)]
+def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence: for each state, the state that a symbol leads to."""
+    rows: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols.tolist():
         new = len(rows)
@@ -68,10 +65,45 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    for i, row in enumerate(rows):
-        for s, to in row.items():
-            step[i, s] = to
-    return step[: len(rows)]
+    return rows
+
+
+class Steps:
+    """Transitions of many states over any alphabet in one sparse table.
+
+    A state is named by a place of its own, and its transition by a symbol stands at that place plus the symbol, where
+    `owner` names the state. Places are drawn, states with many transitions first, until no two transitions meet.
+    """
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int) -> None:
+        size = 5 * max(len(state), states) // 2 + width
+        draw = np.random.default_rng(7)
+        many = np.bincount(state, minlength=states)
+        self.name = np.full(states, -1, np.int64)
+        self.owner = np.full(size + width, -1, np.int32)
+        claim, taken = np.full(size + width, -1, np.int32), np.zeros(size, bool)
+        for least in (64, 32, 16, 8, 4, 2, 1, 0):
+            open_ = np.flatnonzero((many >= least) & (self.name < 0))
+            mine = np.isin(state, open_)
+            own, of = state[mine], symbol[mine]
+            while len(open_):
+                self.name[open_] = draw.integers(0, size, len(open_))
+                at, slot, bad = self.name[open_], self.name[own] + of, np.zeros(states, bool)
+                claim[slot] = own
+                bad[own[(self.owner[slot] >= 0) | (claim[slot] != own)]] = True
+                claim[at] = open_
+                bad[open_[taken[at] | (claim[at] != open_)]] = True
+                fine = ~bad[own]
+                self.owner[slot[fine]] = self.name[own[fine]]
+                taken[at[~bad[open_]]] = True
+                open_, own, of = open_[bad[open_]], own[~fine], of[~fine]
+        self.to = np.zeros(size + width, np.int32)
+        self.to[self.name[state] + symbol] = self.name[to]
+
+    def take(self, names: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the states that the symbols lead to, and the places of those that lead nowhere, whose value is void."""
+        slot = names + symbols
+        return self.to.take(slot), np.flatnonzero(self.owner.take(slot) != names)
 
 
 class Parser:
@@ -79,17 +111,21 @@ class Parser:
 
     def __init__(self, model: tuple[tuple[str, str], ...]) -> None:
         self.languages = [name for name, _ in model]
-        seen = Counter(c for _, text in model for c in text if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: no letter, 1: a letter of no use in training
+        letters = sorted({c for _, text in model for c in text.lower() if c.isalpha()})
         self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.symbol[self.letter] = 1
-        for i, c in enumerate(letters):
-            self.symbol[ord(c)] = i + 2
-        tables = [automaton(self._symbols(text), SYMBOLS) for _, text in model]
-        starts = np.cumsum([0, *(len(t) for t in tables)])
-        self.root = (starts[:-1] * SYMBOLS).astype(np.int32)
-        self.step = np.concatenate([np.where(t < 0, -1, (t + s) * SYMBOLS).astype(np.int32) for t, s in zip(tables, starts[:-1], strict=True)]).ravel() if tables else np.zeros(0, np.int32)
+        self.symbol = self.letter.astype(np.int32)  # 0: no letter, 1: a letter that no training text shows
+        self.symbol[[ord(c) for c in letters]] = np.arange(len(letters)) + 2
+        self.width = len(letters) + 2
+        parts, root, states = [], [], 0
+        for _, text in model:
+            rows = automaton(self._symbols(text))
+            size = [len(row) for row in rows]
+            flat = np.array([x for row in rows for x in row.items()], np.int64).reshape(-1, 2)
+            parts.append(np.column_stack([np.repeat(np.arange(len(rows)) + states, size), flat[:, 0], flat[:, 1] + states]))
+            root.append(states)
+            states += len(rows)
+        self.step = Steps(*np.concatenate(parts).T, states, self.width) if parts else None
+        self.root = self.step.name[root] if parts else np.zeros(0, np.int64)
         self.bits = np.array([np.log2(max(2, len(text))) for _, text in model])
 
     def _codes(self, text: str) -> np.ndarray:
@@ -108,7 +144,7 @@ class Parser:
         ends = np.cumsum(blocks)
         some = blocks > 0
         size[ends[some] - 1] = sizes[some] - (blocks[some] - 1) * BLOCK
-        grid = np.zeros((len(owner), BLOCK), np.uint8)
+        grid = np.zeros((len(owner), BLOCK), np.int32)
         at = 0
         for c, n in zip(coded, blocks.tolist(), strict=True):
             if n:
@@ -119,25 +155,22 @@ class Parser:
         grid = np.ascontiguousarray(grid[order].T)
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than t
         many = len(self.languages)
-        state = np.tile(self.root[:, None], (1, len(owner)))
-        count = np.zeros((many, len(owner)), np.int32)
         root = self.root[:, None]
+        state = np.tile(root, (1, len(owner)))
+        count = np.zeros((many, len(owner)), np.int32)
         for t in range(BLOCK):
             k = active[t]
             if not k:
                 break
-            symbol = grid[t, :k].astype(np.int32)
-            here = state[:, :k]
-            to = self.step.take(here + symbol)
-            stuck = np.flatnonzero(to < 0)
+            symbol = grid[t, :k]
+            to, stuck = self.step.take(state[:, :k].ravel(), np.tile(symbol, many))
             if len(stuck):
                 language, column = np.divmod(stuck, k)
                 count[language, column] += 1  # the phrase before this symbol ends
-                again = self.step.take(self.root[language] + symbol[column])
-                alone = again < 0  # a symbol that the language never shows is a phrase of its own
-                again[alone] = self.root[language[alone]]
-                np.put(to, stuck, again)
-            state[:, :k] = to
+                again, alone = self.step.take(self.root[language], symbol[column])
+                again[alone] = self.root[language[alone]]  # a symbol that the language never shows is a phrase of its own
+                to[stuck] = again
+            state[:, :k] = to.reshape(many, k)
         count += state != root  # the last phrase of the block
         total = np.zeros((len(texts), many), np.int64)
         np.add.at(total, owner, count.T)
@@ -168,13 +201,12 @@ def parser(model: tuple[tuple[str, str], ...]) -> Parser:
 
 def fit(df: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:
     """Model from the rows of `where` that have a label and a text, sorted by language."""
-    labelled = df.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # a row for each language
-    if not counts:
+    labelled = df.where(where & F.col(lang).isNotNull() & (F.length(text) > 0))
+    there = {r[0]: r[1] for r in labelled.groupBy(lang).agg(F.sum(F.least(F.length(text), F.lit(PER_DOC)))).collect()}  # a row for each language
+    if not there:
         return ()
-    need = 4 * (train_chars // PER_DOC + 1)
-    rank = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40))
-    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 3 * need / n) * (1 << 40)))))
+    rank = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 40))
+    share = F.create_map(*(F.lit(x) for name, n in there.items() for x in (name, int(min(1.0, 3 * train_chars / n) * (1 << 40)))))
     rows = labelled.where(rank < share[F.col(lang)]).select(lang, rank.alias("_rank"), F.substring(text, 1, PER_DOC).alias("_text")).collect()
     taken: dict[str, str] = {}
     for name, _, sample in sorted(rows):

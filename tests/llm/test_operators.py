@@ -162,19 +162,36 @@ def slow_phrases(text, train):
 def test_automaton_and_phrases():
     rnd = random.Random(2)
     train = "".join(rnd.choice("abcd") for _ in range(500))
-    table = language_id.automaton(np.frombuffer(train.encode(), np.uint8) - 97, 4)
+    rows = language_id.automaton(np.frombuffer(train.encode(), np.uint8) - 97)
     for _ in range(300):
         s = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 9)))
         state = 0
         for c in s:
-            state = table[state, ord(c) - 97] if state >= 0 else -1
+            state = rows[state].get(ord(c) - 97, -1) if state >= 0 else -1
         assert (state >= 0) == (s in train)
+    given = {(i, s): rnd.randrange(600) for i in range(600) for s in rnd.sample(range(90), rnd.choice((0, 1, 1, 1, 2, 3, 20, 88)))}
+    steps = language_id.Steps(*np.array([(i, s, t) for (i, s), t in given.items()], np.int64).T, 600, 90)
+    asked = [(i, s) for i in range(600) for s in range(90)]
+    to, nowhere = steps.take(*(np.array(x) for x in zip(*((steps.name[i], s) for i, s in asked))))
+    gone = set(nowhere.tolist())
+    assert all((k in gone) == (x not in given) and (k in gone or to[k] == steps.name[given[x]]) for k, x in enumerate(asked))
     parser = language_id.Parser((("x", train), ("y", train[::-1])))
     for n in (1, 5, 1023, 1024, 1025, 3000):
         text = "".join(rnd.choice("abcd") for _ in range(n))
         assert parser.phrases([text]).tolist() == [[slow_phrases(text, train), slow_phrases(text, train[::-1])]]
 
 
+def test_language_of_large_alphabets(spark):
+    """Han, Kana, Cyrillic and Greek beside Latin: more letters than a small alphabet holds, and a source that labels without ids."""
+    rnd = random.Random(6)
+    letters = {"han": (0x4E00, 1500), "kana": (0x3041, 80), "ru": (0x430, 32), "el": (0x3B1, 25), "en": (97, 26)}
+    words = {k: ["".join(chr(a + rnd.randrange(n)) for _ in range(rnd.randrange(1, 6))) for _ in range(150)] for k, (a, n) in letters.items()}
+    rows = [(i if i % 3 else None, " ".join(rnd.choice(words[k]) for _ in range(40)), k, "s") for i, k in enumerate(list(words) * 60)]
+    df = docs(spark, rows)
+    model = language_id.fit(df, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
+    assert all(r.lang == r.lang_pred for r in language_id.predict(df, model).collect())
+
+
 def test_language(spark):
     rnd = random.Random(4)
     speak = {"aa": ("the", "and", "thing", "with", "from"), "bb": ("der", "und", "nicht", "auf", "ein"), "cc": ("que", "los", "para", "ción", "una")}

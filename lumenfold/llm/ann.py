@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 
 LINKS = 16
 BUILD = 48
@@ -266,6 +266,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
                     out += sorted(hits)[:k]
                 yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([-x[0] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-    hits = pairs.mapInArrow(look, "query_id long, vec_id long, score double")
+    hits = pairs.transform(small_batches).mapInArrow(look, "query_id long, vec_id long, score double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.distinct().withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import rows_of
+from .shared import rows_of, small_batches
 
 NONE = np.iinfo(np.int64).max
 #: Longest piece in bytes that runs in lock-step.
@@ -233,7 +233,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", int
             packed = merge.encode(texts, cut)
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(packed, pa.binary())], [*names, into])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(small_batches).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -249,4 +249,4 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "token_ids", into: str = "
                 out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out, pa.binary())], [*names, into])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(small_batches).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import rows_of, written
+from .shared import rows_of, small_batches, written
 from .words import U, hashed_words, mix
 
 BUCKETS = 1 << 16
@@ -68,7 +68,7 @@ def fit(df: DataFrame, targets: list, key: str = "doc_id", text: str = "text") -
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
 
-    rows = df.select(key, text).mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()  # BUCKETS rows at most
+    rows = df.select(key, text).transform(small_batches).mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()  # BUCKETS rows at most
     raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
     for b, r, g in rows:
         raw[b] += r
@@ -92,7 +92,7 @@ def score(df: DataFrame, ratio: np.ndarray, text: str = "text", into: str = "log
             mean = total / np.maximum(1, np.bincount(owner, minlength=len(texts)))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(mean)], [*names, into])
 
-    return df.mapInArrow(rate, T.StructType([*keep, T.StructField(into, T.DoubleType())]))
+    return df.transform(small_batches).mapInArrow(rate, T.StructType([*keep, T.StructField(into, T.DoubleType())]))
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bits: int = 60) -> int | None:

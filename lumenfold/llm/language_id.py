@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import rows_of
+from .shared import rows_of, small_batches
 
 TRAIN_CHARS = 40_000
 PER_DOC = 1_000
@@ -229,7 +229,7 @@ def predict(df: DataFrame, model: tuple[tuple[str, str], ...], text: str = "text
             found, sure, cost = parse.predict(texts)
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(cost, pa.float64())], [*names, into, score, bits])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(small_batches).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5) -> Column:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.graph import components
 
-from .shared import rows_of, written
+from .shared import rows_of, small_batches, written
 from .words import U, hashed_words, mix
 
 SKETCH = 64
@@ -110,7 +110,7 @@ def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 rows[i], names[i] = next(mins), _digest(sets[i])
             yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], ["id", "n_shingles", "class", "sketch"])
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias(text)).mapInArrow(run, "id long, n_shingles long, class binary, sketch array<int>")
+    return df.select(F.col(key).alias("id"), F.col(text).alias(text)).transform(small_batches).mapInArrow(run, "id long, n_shingles long, class binary, sketch array<int>")
 
 
 def roots(classes: DataFrame, trees: int, first: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array]
         close()
         yield emit()
 
-    return df.select(group, "class", column).repartition(group).sortWithinPartitions(group, "class").mapInArrow(run, f"{group} long, a binary, b binary")
+    return df.select(group, "class", column).repartition(group).sortWithinPartitions(group, "class").transform(small_batches).mapInArrow(run, f"{group} long, a binary, b binary")
 
 
 def _alike_sketches(least: int) -> Callable[[list], list[tuple[int, int]]]:
@@ -294,7 +294,7 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
     def exact(units: DataFrame) -> DataFrame:
         """Links among the members of units (unit, class) on full sets."""
         wanted = units.select("class").distinct().join(classes.select("class", F.col("first").alias("id")), "class")
-        sets = texts.join(wanted, "id").select("class", "text").mapInArrow(full, "class binary, set binary")
+        sets = texts.join(wanted, "id").select("class", "text").transform(small_batches).mapInArrow(full, "class binary, set binary")
         return written(_grouped(units.join(sets, "class"), "unit", "set", unpack, _alike_sets(percent)).select("a", "b"), "links")
 
     def candidates(units: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import rows_of
+from .shared import rows_of, small_batches
 
 #: The symbols that n_symbols counts, and the white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -117,7 +117,7 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str
                     spent[name] += time.perf_counter_ns() - began
             yield pa.RecordBatch.from_arrays([pa.array(list(rules)), pa.array([spent[n] for n in rules], pa.int64()), pa.array([out[n] for n in rules], pa.int64())], ["rule", "ns", "rejected"])
 
-    seen = {r[0]: r[2] / max(1, r[1]) for r in picked.mapInArrow(timed, "rule string, ns long, rejected long").groupBy("rule").agg(F.sum("ns"), F.sum("rejected")).collect()}
+    seen = {r[0]: r[2] / max(1, r[1]) for r in picked.transform(small_batches).mapInArrow(timed, "rule string, ns long, rejected long").groupBy("rule").agg(F.sum("ns"), F.sum("rejected")).collect()}
     return sorted(rules, key=lambda name: -seen.get(name, 0.0))
 
 
@@ -139,4 +139,4 @@ def run(df: DataFrame, order: list[str], text: str = "text", rules: dict[str, Ru
             made = [pa.array(list(c), pa.int64() if i < 5 else pa.bool_()) for i, c in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *(f.name for f in fields)])
 
-    return df.mapInArrow(judge, T.StructType([*keep, *fields]))
+    return df.transform(small_batches).mapInArrow(judge, T.StructType([*keep, *fields]))

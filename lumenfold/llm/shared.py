@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.sources.storage import dropped, fresh_path, shared_dir, written
 
-__all__ = ["WORD", "dropped", "fresh_path", "rows_of", "shared_dir", "table", "word_count", "written"]
+__all__ = ["WORD", "dropped", "fresh_path", "rows_of", "shared_dir", "small_batches", "table", "word_count", "written"]
 
 #: The separators of words: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to Python: whole texts are long, and a task holds a batch or two on either side.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself; lowers the session's Arrow batches to BATCH_BYTES where they may be larger (one longer row is a batch of its own)."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, rows_of, written
+from .shared import dropped, rows_of, small_batches, written
 
 LENGTH = 400
 GRAM = 100
@@ -121,7 +121,7 @@ def _all_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = [np.concatenate(c) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, lo int, hi int, anchor int, g long, r long")
+    return docs.select("uid", "text").transform(small_batches).mapInArrow(run, "uid long, lo int, hi int, anchor int, g long, r long")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "lo", "hi", "anchor", "g", "w", "m", "content"])
 
-    return docs.select("uid", "text").join(lists, "uid").mapInArrow(cut, "uid long, lo int, hi int, anchor int, g long, w int, m long, content binary")
+    return docs.select("uid", "text").join(lists, "uid").transform(small_batches).mapInArrow(cut, "uid long, lo int, hi int, anchor int, g long, w int, m long, content binary")
 
 
 def _windows(content: bytes, length: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         close()
         yield emit()
 
-    return rows.select("g", "uid", "lo", "hi", "anchor", "w", "content").repartition("g").sortWithinPartitions("g", "uid", "lo").mapInArrow(run, "uid long, lo int, hi int")
+    return rows.select("g", "uid", "lo", "hi", "anchor", "w", "content").repartition("g").sortWithinPartitions("g", "uid", "lo").transform(small_batches).mapInArrow(run, "uid long, lo int, hi int")
 
 
 class Levels:
@@ -309,4 +309,4 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 sums.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary()), pa.array(sums)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return whole.select("id", "windows", "text").mapInArrow(cut, f"doc_id {dict(docs.dtypes)['id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return whole.select("id", "windows", "text").transform(small_batches).mapInArrow(cut, f"doc_id {dict(docs.dtypes)['id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import dropped, fresh_path, written
+from .shared import dropped, fresh_path, small_batches, written
 
 MAGIC = b"WARC/1.1\r\n"
 RECORDS = 1_000
@@ -98,7 +98,7 @@ def _found(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.string() if "string" in x else pa.int64() for x in FOUND.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(look, FOUND)
+    return spark.read.format("binaryFile").load(path).select("path", "content").transform(small_batches).mapInArrow(look, FOUND)
 
 
 def reached(found: DataFrame) -> DataFrame:

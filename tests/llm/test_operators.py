@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -370,6 +371,7 @@ def test_secrets(spark):
         for a, k, b in spans:
             if k >= 3:
                 assert entropy(t[a:b]) >= secret_scan.THRESHOLD[secret_scan.KINDS[k]] - 1e-9
+        assert [s for s in spans if s[1] >= 3] == method_spans(t, base_spans(t)), repr(t[:80])
     found = {r.doc_id: [s for s in r.secret_spans if s.kind >= 3] for r in got}
     assert len(found[10]) == 2
     assert not found[11] and not found[12] and not found[13] and found[14]
@@ -379,6 +381,62 @@ def test_secrets(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+KNOWN = re.compile(secret_scan.KNOWN)
+WORD = re.compile(secret_scan.WORD)
+
+
+def is_dense(s):
+    kind = 3 if re.fullmatch("[0-9a-fA-F]+", s) else 4 if re.fullmatch("[0-9A-Za-z]+", s) else 5
+    return bool(re.search("[0-9]", s) and re.search("[A-Za-z]", s)) and entropy(s) >= secret_scan.THRESHOLD[secret_scan.KINDS[kind]] - 1e-9, kind
+
+
+def method_spans(text, base):
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        dense, kind = is_dense(m[0])
+        path = "/" in m[0] and all(WORD.match(x) for x in re.split("[-_=+/]+", m[0]))
+        other = not KNOWN.search(m[0]) or any(len(x) >= 20 and is_dense(x)[0] for x in re.split(secret_scan.PIECES, m[0]))
+        if dense and not path and other and not any(a < m.end() and m.start() < b for a, _, b in base):
+            out.append((m.start(), kind, m.end()))
+    return out
+
+
+def test_secrets_with_slashes_long_and_many(spark):
+    """Random keys are found whatever stands in them or before them; paths of words are not; long candidates and many matches stay quick."""
+    rnd = random.Random(21)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n, a=b64: "".join(rnd.choice(a) for _ in range(n))
+    keys = [key(n) for n in (40, 64, 88, 256, 5_000) for _ in range(6)]
+    texts = [f"see {k} here" for k in keys] + [f"see /{k} here" for k in keys[:6]]
+    paths = ["see /usr/local/lib/python3/site-packages/numpy here", "at docs/guide/chapter-12/section-3/index-page there", "id 550e8400-e29b-41d4-a716-446655440000 ok", "an example-key-0123456789-abcdefghij here"]
+    webhook = f"post to /services/T00000000/B0001/{key(28, b64[:62])} now"
+    example = f"use example={key(40, b64[:62])} now"
+    many = " ".join(f"password=hunter{i:05d} {key(24, b64[:62])}" for i in range(3_000))
+    long_ = key(300_000, b64[:62])
+    texts += [*paths, webhook, example, many, long_]
+    df = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    began = time.time()
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secret_spans] for r in secret_scan.scan(df).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        if len(t) < 200_000:
+            assert got[i] == sorted(base_spans(t) + method_spans(t, base_spans(t))), repr(t[:80])
+    n = len(keys) + 6
+    assert all(got[i] for i in range(n))
+    assert not any(got[n + i] for i in range(len(paths)))
+    assert got[n + 4] and got[n + 5]
+    assert sum(k == 0 for _, k, _ in got[n + 6]) == 3_000
+    assert got[n + 7] == [(0, 4, 300_000)]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.scan(df)).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for a, _, b in got[i]:
+            if a >= at:
+                out += [t[at:a], "[secret]"]
+            at = max(at, b)
+        assert clean[i] == "".join(out) + t[at:]
+
+
 def test_window_entropy(spark):
     rnd = random.Random(11)
     strings = ["".join(rnd.choice("0123456789abcdef"[: rnd.randrange(1, 16)]) for _ in range(rnd.randrange(1, 60))) for _ in range(60)]

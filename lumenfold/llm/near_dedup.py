@@ -20,8 +20,9 @@ to blocks, a few of them (pivots) stand in every block, and the links found ther
 components. A pair within one component is known, so the trees only look for pairs across components: a node of one component ends, and a large node with few members outside its largest
 component compares these with all its members, block by block. Nothing is dropped by this.
 
-A node that branching does not shrink (its members are alike, yet not linked) is compared in full: every
-two of its blocks that do not lie in one component meet in a task of their own.
+A node with a child that hardly shrinks (its members are alike, yet not linked) is compared in full itself: every
+two of its blocks that do not lie in one component meet in a task of their own. A comparison in full misses
+nothing that its node holds, so it is done in the first six trees only.
 
 Defined cases: null text, or text without a word, has an empty set, links with nothing and is kept;
 fewer words than a shingle has make one shingle; very long texts are shingled whole; rows that repeat an id and
@@ -56,6 +57,8 @@ SLICE = 4096
 TIGHT = 0.7
 #: Trees whose large roots are contracted.
 CONTRACT = 2
+#: Trees in which large nodes are compared in full: such a node misses no pair that it holds, so six roots miss a pair of similarity 0.8 with 6e-5.
+FULL = 6
 _draw = np.random.default_rng(20)
 _FACTOR = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -114,19 +117,20 @@ def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def roots(classes: DataFrame, trees: int, first: int) -> DataFrame:
-    """(class, lab, node, up) of each class in the first trees: a root is named by one minwise token."""
+    """(class, lab, node, over, up, late) of each class in the first trees: a root is named by one minwise token; late says that the tree is not among the first FULL."""
     places = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * SKETCH // trees % SKETCH).alias("p")) for t in range(first)))
     rows = classes.withColumn("_root", F.explode(places))
-    return rows.select("class", "lab", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), F.lit(None).cast("long").alias("up"))
+    none = F.lit(None).cast("long")
+    return rows.select("class", "lab", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), none.alias("over"), none.alias("up"), (F.col("_root.t") >= FULL).alias("late"))
 
 
 def unfinished(rows: DataFrame) -> DataFrame:
-    """rows (class, lab, node, up) of the nodes that hold more than one label, with n, the members of the node, was,
-    those of its parent, top, the label that most members have, and rest, the number of the others."""
+    """rows of the nodes that hold more than one label, with n, the members of the node, was, those of its parent,
+    top, the label that most members have, and rest, the number of the others."""
     part = rows.groupBy("node", "lab").agg(F.count("*").alias("_many"), F.max("up").alias("_up"))
-    size = part.groupBy("node").agg(F.sum("_many").alias("n"), F.max("_up").alias("was"), F.max(F.struct("_many", "lab")).alias("_top"))
-    size = size.where(F.col("n") > F.col("_top._many")).select("node", "n", "was", F.col("_top.lab").alias("top"), (F.col("n") - F.col("_top._many")).alias("rest"))
-    return rows.join(size, "node").select("node", "class", "lab", "n", "was", "top", "rest")
+    size = part.groupBy("node").agg(F.sum("_many").alias("n"), F.max("_up").alias("was"), F.max("_many").alias("_most"), F.max_by("lab", "_many").alias("top"))
+    size = size.where("n > _most").select("node", "n", "was", "top", (F.col("n") - F.col("_most")).alias("rest"))
+    return rows.join(size, "node").select("node", "class", "lab", "over", "late", "n", "was", "top", "rest")
 
 
 def pivot_blocks(large: DataFrame, node: int) -> DataFrame:
@@ -166,23 +170,27 @@ def block_pairs(stuck: DataFrame, block: int) -> DataFrame:
 def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
     """(unit, class): the members of every small node of the trees, and of the block pairs of large nodes
     that hold few members outside one component or that branching does not shrink. classes: class, sketch, lab."""
-    rows, parts, depth = roots(classes, trees, trees), [], 0
+    rows, parts, parents, depth, block = roots(classes, trees, trees), [], None, 0, max(1, 3 * node // 4)
     while True:
         level = written(unfinished(rows), "level")
+        if parents is not None:
+            tight = written(level.where((F.col("n") > TIGHT * F.col("was")) & (F.col("rest") > node)).select("over").distinct(), "tight")
+            if tight.limit(1).count():
+                parts.append(block_pairs(parents.join(tight, F.col("node") == F.col("over"), "left_semi").where("not late"), block))
+                level = level.join(tight, "over", "left_anti")
         parts.append(level.where(F.col("n") <= node).select(F.col("node").alias("unit"), "class"))
         large = level.where(F.col("n") > node)
-        if not large.limit(1).count():
-            break
-        tight = F.coalesce(F.col("n") > TIGHT * F.col("was"), F.lit(False)) | F.lit(depth >= SKETCH)
-        paired = (F.col("rest") <= node) | tight
-        stuck = large.where(paired)
+        few = (F.col("rest") <= node) | F.lit(depth >= SKETCH)
+        stuck = large.where(few & ~F.col("late"))
         if stuck.limit(1).count():
-            parts.append(block_pairs(stuck, max(1, 3 * node // 4)))
-        branch = large.where(~paired).select("class", "lab", "node", "n").join(classes.select("class", "sketch"), "class")
-        turn = branch.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
+            parts.append(block_pairs(stuck, block))
+        parents = written(large.where(~few).select("node", "class", "lab", "top", "late", "n"), "parents")
+        if not parents.limit(1).count():
+            break
+        turn = parents.join(classes.select("class", "sketch"), "class").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
         spots = [F.pmod(F.xxhash64("node", "_i", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(POSITIONS)]
         tokens = [F.element_at("sketch", p + 1) for p in spots]
-        rows = turn.select("class", "lab", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("n").alias("up"))
+        rows = turn.select("class", "lab", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("node").alias("over"), F.col("n").alias("up"), "late")
         depth += 1
     return reduce(DataFrame.unionByName, parts)
 
@@ -309,7 +317,7 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
         sized = written(groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group"), "groups")
         one = sized.where(F.col("n") <= node).select(F.xxhash64("group").alias("unit"), "class")
         known = maybe.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
-        return exact(one.unionByName(known.join(sized.where(F.col("n") > node).select("class"), "class").select("unit", "class")))
+        return exact(one.unionByName(known.join(sized.where(F.col("n") > node), "class", "left_semi").select("unit", "class")))
 
     named = sketches.withColumn("lab", F.xxhash64("class"))
     large = written(unfinished(roots(named, trees, min(trees, CONTRACT))).where(F.col("n") > node), "large")

@@ -202,6 +202,11 @@ class Graph:
         return self
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither overflow nor vanish; directions stay exactly as they are."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw / np.linalg.norm(raw, axis=1, keepdims=True), np.float32)
 
@@ -223,7 +228,7 @@ def build(points: DataFrame, shards: int) -> DataFrame:
         ids = table.column("ids").to_pylist()
         vec = np.array(table.column("vec").to_pylist(), np.float64)
         by = np.argsort([i[0] for i in ids], kind="stable")
-        vec, ids = vec[by], [ids[i] for i in by]
+        vec, ids = _scaled(vec[by]), [ids[i] for i in by]
         graph = Graph(_unit(vec)).packed()
         row = {"shard": table.column("shard")[0].as_py(), "n": len(ids), "ids": np.array([i for x in ids for i in x], "<i8").tobytes(), "counts": np.array([len(x) for x in ids], "<i4").tobytes(), "vectors": vec.astype("<f8").tobytes(), **graph}
         return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("n", pa.int32()), *((k, pa.binary()) for k in ("ids", "counts", "vectors", "order", "sizes", "links"))]))
@@ -254,7 +259,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
                 counts = np.frombuffer(row["counts"], "<i4")
                 ends = np.cumsum(counts)
                 ids = np.frombuffer(row["ids"], "<i8")
-                query = np.array([q["vec"] for q in row["asked"]], np.float64)
+                query = _scaled(np.array([q["vec"] for q in row["asked"]], np.float64))
                 own = np.array([q["id"] for q in row["asked"]], np.int64)
                 found, _ = graph.search(_unit(query), min(k + 1, row["n"]), wide)
                 out: list[tuple] = []

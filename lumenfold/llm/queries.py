@@ -99,11 +99,11 @@ WITH d AS (
   FROM (SELECT *, max(CASE WHEN NOT cap < level * weight THEN level END) OVER () AS free FROM l)
 ), r AS (
   SELECT d.*, source_size, target, least(CASE WHEN source_size > 0 THEN floor(target / source_size * 1048576)::BIGINT ELSE 0 END, 2097152)::BIGINT AS e,
-    length(size::VARCHAR) * 100 + rpad((size::VARCHAR)[1:2], 2, '0')::INT AS class, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+    length(size::VARCHAR) * 100 + rpad((size::VARCHAR)[1:2], 2, '0')::INT AS class, md5(coalesce(doc_id::VARCHAR, '|' || size)) AS h,
     ('0x' || md5('lumenfold|' || coalesce(d.source, ''))[1:8])::BIGINT % 1048576 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), p AS (
-  SELECT *, (sum(e) OVER (PARTITION BY source ORDER BY class, h, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT + u AS e1 FROM r
+  SELECT *, (sum(e) OVER (PARTITION BY source ORDER BY class, h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT + u AS e1 FROM r
 )
 SELECT doc_id, size, source_size, target, ((e1 // 1048576 - (e1 - e) // 1048576) * size)::BIGINT AS taken FROM p
 """

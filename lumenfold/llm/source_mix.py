@@ -68,9 +68,13 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(source, F.lit("")))), 1, 8), 16, 10).cast("long"), F.lit(UNIT))
 
 
-def copies(df: DataFrame, expected: Column, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED) -> DataFrame:
-    """df with the number of copies of each row. expected: copies expected of a row, in units of 1 / UNIT (long)."""
-    rows = df.withColumn("_e", expected).withColumn("_class", size_class(F.col(size))).withColumn("_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def copies(df: DataFrame, expected: Column, key: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, seed: str = SEED) -> DataFrame:
+    """df with the number of copies of each row. expected: copies expected of a row, in units of 1 / UNIT (long).
+
+    tie: what orders rows of one id and size that differ otherwise; rows alike in all of these get the same copies in any order.
+    """
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("|"), F.col(size).cast("string")))  # rows without an id are spread by their size
+    rows = df.withColumn("_e", expected).withColumn("_class", size_class(F.col(size))).withColumn("_hash", F.md5(name)).withColumn("_tie", F.lit(0) if tie is None else tie)
     many = max(1, round((df.count() / BUCKET) ** 0.5))
     rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * many / F.lit(1 << 32)).cast("int")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
     each = ["_source", "_class", "_bucket"]
@@ -83,11 +87,11 @@ def copies(df: DataFrame, expected: Column, key: str = "doc_id", source: str = "
     classes = classes.withColumn("_before_class", F.coalesce(F.sum("_class_sum").over(until("_class", ["_source"])), F.lit(0))).drop("_class_sum")
     buckets = buckets.withColumn("_before_bucket", F.coalesce(F.sum("_sum").over(until("_bucket", ["_source", "_class"])), F.lit(0))).drop("_sum")
     start = buckets.join(classes, ["_source", "_class"]).select(*each, (F.col("_before_class") + F.col("_before_bucket")).alias("_start"))
-    line = W.partitionBy(*each).orderBy("_hash", key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = W.partitionBy(*each).orderBy("_hash", key, size, "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.withColumn("_upto", F.sum("_e").over(line)).join(start, each)
     end = F.col("_start") + F.col("_upto") + offset(F.col(source), seed)
     crossed = F.expr(f"_end div {UNIT} - (_end - _e) div {UNIT}")
-    return placed.withColumn("_end", end).withColumn("copies", crossed.cast("int")).drop("_e", "_class", "_hash", "_bucket", "_source", "_upto", "_start", "_end")
+    return placed.withColumn("_end", end).withColumn("copies", crossed.cast("int")).drop("_e", "_class", "_hash", "_tie", "_bucket", "_source", "_upto", "_start", "_end")
 
 
 def expected_copies() -> Column:

@@ -120,7 +120,8 @@ def reached(found: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives; length and digest are those of the full payload."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives; length and digest are those of the full payload.
+    A revisit of a page that these archives do not hold has a null length."""
     found = written(_found(spark, path), "candidates")
     chain = reached(found)
     rows = found.join(chain, ["file", "at"])
@@ -128,8 +129,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(number("record_id").alias("page_id"), number("refers").alias("refers_to"), F.col("kind").alias("record_type"), "body_bytes", "body_digest", F.regexp_replace("digest", "^sha1:", "").alias("digest"))
     own = rows.where("record_type <> 'revisit'").select("page_id", F.col("body_bytes").alias("payload_bytes"), F.col("body_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     bodies = own.groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    again = rows.where("record_type = 'revisit'").join(bodies, (F.col("refers_to") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    return own.unionByName(again.select("page_id", "payload_bytes", F.col("_digest").alias("payload_digest"), "record_type", "refers_to"))
+    again = rows.where("record_type = 'revisit'").join(bodies, (F.col("refers_to") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return own.unionByName(again.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
 def round_trip(df: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:

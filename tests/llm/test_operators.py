@@ -63,6 +63,18 @@ def test_neighbours(spark):
     assert all(abs(s - dict(want[q]).get(i, s)) < 1e-12 for q in want for i, s in got[q])
 
 
+def test_neighbours_of_any_size(spark):
+    """Vectors whose squares overflow or vanish."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, (rnd.normal(size=6) * 10.0 ** (250 * (i % 3 - 1))).tolist()) for i in range(60)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = exact_neighbours([(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows])
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q]))
+
+
 def test_neighbours_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few, F.col("id") % 50 == 0).collect()] == [(0, 1)]
@@ -251,6 +263,15 @@ def test_mix(spark):
     assert source_mix.mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_equal_and_missing_ids(spark):
+    """Rows of one id, or none, and other sizes: a rerun over other partitions takes the same words."""
+    rnd = random.Random(31)
+    rows = [(7 if i % 2 else None, babble(rnd, 100 + rnd.randrange(9)), "en", rnd.choice("abc")) for i in range(200)]
+    df = docs(spark, rows)
+    runs = [sorted((r.doc_id or 0, r.source, r.size, r.copies) for r in source_mix.mix(df.repartition(n)).collect()) for n in (2, 7)]
+    assert runs[0] == runs[1]
+
+
 def test_systematic_sample_crosses_once_a_unit(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 13).alias("size"))
     got = source_mix.copies(df, F.lit(int(0.37 * source_mix.UNIT)).cast("long"))
@@ -282,6 +303,25 @@ def test_importance(spark):
     assert {r.log_ratio for r in importance.resample(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_log_ratio_by_brute_force(spark):
+    """The mean log ratio of smoothed n-gram shares, counted here by hand over the same buckets."""
+    rnd = random.Random(16)
+    texts = [babble(rnd, rnd.randrange(0, 60)) for _ in range(60)] + [None, "", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    targets = list(range(0, 60, 4))
+    ratio = importance.fit(df, targets)
+    own = [Counter(importance.grams([t or ""])[0].tolist()) for t in texts]
+    for t, c in zip(texts, own):
+        words = WORDS.findall(t or "")
+        assert sum(c.values()) == max(0, 2 * len(words) - 1)
+    raw, good = sum(own, Counter()), sum((own[i] for i in targets), Counter())
+    all_raw, all_good = sum(raw.values()) + importance.BUCKETS, sum(good.values()) + importance.BUCKETS
+    for r in importance.score(df, ratio).collect():
+        c = own[r.doc_id]
+        want = sum(n * (math.log((good[b] + 1) / all_good) - math.log((raw[b] + 1) / all_raw)) for b, n in c.items()) / max(1, sum(c.values()))
+        assert abs(r.log_ratio - want) < 1e-9
+
+
 def test_kth_largest(spark):
     values = [0, 5, 5, 9, (1 << 50) + 3, 1 << 50, 7]
     df = spark.createDataFrame([(v,) for v in values], "v long")

@@ -149,6 +149,105 @@ FROM b
 """
 
 
+#: Exact sets, pairs by shared shingles, and components by transitive closure.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) BETWEEN 1 AND 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS grams FROM d
+), k AS (
+  SELECT doc_id, grams, len(grams)::BIGINT AS n, CASE WHEN len(grams) > 0 THEN md5(array_to_string(grams, chr(10))) END AS class FROM s
+), c AS (
+  SELECT class, min(doc_id) AS first, any_value(n) AS n, any_value(grams) AS grams FROM k WHERE class IS NOT NULL GROUP BY class
+), g AS (
+  SELECT class, n, unnest(grams) AS gram FROM c
+), l AS (
+  SELECT a.class AS a, b.class AS b FROM g a JOIN g b USING (gram) WHERE a.class < b.class
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT class AS a, class AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a
+), m AS (
+  SELECT r.a AS class, min(c.first) AS component_id FROM reach r JOIN c ON r.b = c.class GROUP BY r.a
+)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM k LEFT JOIN m USING (class)
+"""
+
+#: Every window of 400 bytes by its hash; what repeats is merged to runs.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT u, p, md5_number(substring(x, 2 * p + 1, 800)) AS h FROM (SELECT u, x, unnest(range(0, greatest(n - 399, 0))) AS p FROM d)
+), r AS (
+  SELECT u, p FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1
+), i AS (
+  SELECT u, p, sum(fresh) OVER (PARTITION BY u ORDER BY p) AS k
+  FROM (SELECT u, p, CASE WHEN p <= lag(p) OVER (PARTITION BY u ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM r)
+), s AS (
+  SELECT u, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY u, k
+), g AS (
+  SELECT u, a, b, coalesce(lag(b) OVER (PARTITION BY u ORDER BY a), 0) AS before FROM s
+), o AS (
+  SELECT u, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM g JOIN d USING (u) GROUP BY u
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(last, 0) + 1, 2 * n))) AS kept_sha256
+FROM d LEFT JOIN o USING (u)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    """A pattern within an SQL literal."""
+    return pattern.replace("'", "''")
+
+
+#: Spans from the lengths of matches and of what lies between them; every window's entropy by counting.
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents
+), z AS (
+  SELECT u, 0 AS k, string_split_regex(t, '{_quoted(secret_scan.ASSIGN)}') AS gaps, regexp_extract_all(t, '{_quoted(secret_scan.ASSIGN)}') AS found FROM d
+  UNION ALL SELECT u, 1, string_split_regex(t, '{secret_scan.ACCESS}'), regexp_extract_all(t, '{secret_scan.ACCESS}') FROM d
+  UNION ALL SELECT u, 2, string_split_regex(t, '{secret_scan.HEX}'), regexp_extract_all(t, '{secret_scan.HEX}') FROM d
+  UNION ALL SELECT u, 3, string_split_regex(t, '{secret_scan.CANDIDATE}'), regexp_extract_all(t, '{secret_scan.CANDIDATE}') FROM d
+), m AS (
+  SELECT u, k, unnest(found) AS s, unnest(gaps[:len(found)]) AS gap, unnest(range(len(found))) AS i FROM z WHERE len(found) > 0
+), a AS (
+  SELECT u, k, s, (sum(length(gap) + length(s)) OVER (PARTITION BY u, k ORDER BY i))::BIGINT AS stop FROM m
+), base AS (
+  SELECT u, k, stop - length(s) AS start, stop FROM a WHERE k IN (1, 2) OR k = 0 AND length(regexp_extract(s, '{_quoted(secret_scan.ASSIGN)}', 2)) >= 6
+), c AS (
+  SELECT u, s, stop - length(s) AS start, stop FROM a WHERE k = 3
+), pieces AS (
+  SELECT DISTINCT s, unnest(list_distinct(list_append(list_filter(string_split_regex(s, '{_quoted(secret_scan.PIECES)}'), lambda x: length(x) >= {secret_scan.WINDOW}), s))) AS x FROM c
+), chars AS (
+  SELECT x, i, c, count(*) AS n FROM (SELECT x, i, unnest(string_split(substring(x, i, {secret_scan.WINDOW}), '')) AS c FROM (SELECT x, unnest(range(1, length(x) - {secret_scan.WINDOW} + 2)) AS i FROM (SELECT DISTINCT x FROM pieces))) GROUP BY x, i, c
+), bits AS (
+  SELECT x, max(b) AS bits FROM (SELECT x, i, log2({secret_scan.WINDOW}) - sum(n * log2(n)) / {secret_scan.WINDOW} AS b FROM chars GROUP BY x, i) GROUP BY x
+), kinds AS (
+  SELECT x, bits, CASE WHEN regexp_matches(x, '^[0-9a-fA-F]+$') THEN 3 WHEN regexp_matches(x, '^[0-9A-Za-z]+$') THEN 4 ELSE 5 END AS k FROM bits
+), dense AS (
+  SELECT x, k, regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND bits >= CASE k WHEN 3 THEN {secret_scan.THRESHOLD['entropy_hex']} WHEN 4 THEN {secret_scan.THRESHOLD['entropy_alnum']} ELSE {secret_scan.THRESHOLD['entropy_base64']} END AS yes FROM kinds
+), secret AS (
+  SELECT s, any_value(k) FILTER (x = s) AS k FROM pieces JOIN dense USING (x) GROUP BY s
+  HAVING bool_or(yes) FILTER (x = s) AND NOT (contains(s, '/') AND len(list_filter(string_split_regex(s, '{secret_scan.SEPARATORS}'), lambda x: NOT regexp_matches(x, '{secret_scan.WORD.replace('*+', '*')}'))) = 0)
+    AND (NOT regexp_matches(s, '{_quoted(secret_scan.KNOWN)}') OR coalesce(bool_or(yes) FILTER (x <> s), false))
+), more AS (
+  SELECT c.u, k, start, stop FROM c JOIN secret USING (s) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.u = c.u AND b.start < c.stop AND c.start < b.stop)
+), e AS (
+  SELECT u, k, start, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_alnum', 'entropy_base64'][k + 1] || ':' || start || ':' || stop AS span FROM (FROM base UNION ALL FROM more)
+), o AS (
+  SELECT u, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM e GROUP BY u
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (u)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express on whole tables."""
-    return {"op4_source_mix": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_round_trip": OP9_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op7_secret_scan": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_round_trip": OP9_SQL}

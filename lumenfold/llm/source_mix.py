@@ -68,17 +68,23 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(source, F.lit("")))), 1, 8), 16, 10).cast("long"), F.lit(UNIT))
 
 
-def copies(df: DataFrame, expected: Column, key: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, seed: str = SEED) -> DataFrame:
+def copies(df: DataFrame, expected: Column, key: str = "doc_id", source: str = "source", size: str = "size", tie: Column | None = None, slim: DataFrame | None = None, seed: str = SEED) -> DataFrame:
     """df with the number of copies of each row. expected: copies expected of a row, in units of 1 / UNIT (long).
 
     tie: what orders rows of one id and size that differ otherwise; rows alike in all of these get the same copies in any order.
+    slim: the rows of df without their wide columns, over which the buckets are then summed.
     """
+    slim = df if slim is None else slim
+    many = max(1, round((slim.count() / BUCKET) ** 0.5))
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("|"), F.col(size).cast("string")))  # rows without an id are spread by their size
-    rows = df.withColumn("_e", expected).withColumn("_class", size_class(F.col(size))).withColumn("_hash", F.md5(name)).withColumn("_tie", F.lit(0) if tie is None else tie)
-    many = max(1, round((df.count() / BUCKET) ** 0.5))
-    rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * many / F.lit(1 << 32)).cast("int")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
+
+    def cut(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_e", expected).withColumn("_class", size_class(F.col(size))).withColumn("_hash", F.md5(name))
+        return d.withColumn("_bucket", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * many / F.lit(1 << 32)).cast("int")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
+
+    rows = cut(df).withColumn("_tie", F.lit(0) if tie is None else tie)
     each = ["_source", "_class", "_bucket"]
-    buckets = rows.groupBy(*each).agg(F.sum("_e").alias("_sum"))
+    buckets = cut(slim).groupBy(*each).agg(F.sum("_e").alias("_sum"))
     classes = buckets.groupBy("_source", "_class").agg(F.sum("_sum").alias("_class_sum"))
 
     def until(order: Column | str, by: list[str]) -> W:
@@ -100,9 +106,13 @@ def expected_copies() -> Column:
     return F.least(rate, F.lit(CAP * UNIT))
 
 
+def aimed(df: DataFrame, goal: DataFrame) -> DataFrame:
+    """df with target and source_size of each row's source. goal: targets(), written, so that its size is known when the join is planned: it is broadcast below the session's threshold, and the rows then stay where they are."""
+    named = goal.withColumnRenamed("source", "_goal")
+    return df.join(named, F.col("source").eqNullSafe(F.col("_goal"))).drop("_goal")
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each document."""
     sizes = written(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
-    goal = targets(sizes).withColumnRenamed("source", "_goal")
-    rows = sizes.join(goal, F.col("source").eqNullSafe(F.col("_goal"))).drop("_goal")
-    return copies(rows, expected_copies())
+    return copies(aimed(sizes, written(targets(sizes), "targets")), expected_copies())

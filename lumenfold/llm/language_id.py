@@ -140,19 +140,11 @@ class Parser:
         sizes = np.array([len(c) for c in coded])
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        size = np.full(len(owner), BLOCK)
-        ends = np.cumsum(blocks)
-        some = blocks > 0
-        size[ends[some] - 1] = sizes[some] - (blocks[some] - 1) * BLOCK
-        grid = np.zeros((len(owner), BLOCK), np.int32)
-        at = 0
-        for c, n in zip(coded, blocks.tolist(), strict=True):
-            if n:
-                grid[at : at + n].reshape(-1)[: len(c)] = c
-                at += n
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK  # where in its text a block begins
+        size = np.minimum(BLOCK, sizes[owner] - place)
         order = np.argsort(-size, kind="stable")
-        size, owner = size[order], owner[order]
-        grid = np.ascontiguousarray(grid[order].T)
+        size, begin, owner = size[order], ((np.cumsum(sizes) - sizes)[owner] + place)[order], owner[order]
+        flat = np.concatenate(coded)
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than t
         many = len(self.languages)
         root = self.root[:, None]
@@ -162,7 +154,7 @@ class Parser:
             k = active[t]
             if not k:
                 break
-            symbol = grid[t, :k]
+            symbol = flat[begin[:k] + t]
             to, stuck = self.step.take(state[:, :k].ravel(), np.tile(symbol, many))
             if len(stuck):
                 language, column = np.divmod(stuck, k)

@@ -52,3 +52,4 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20)
         if sizes:
             part = batch.slice(start)
             yield part, [t or "" for t in part.column(text).to_pylist()]
+    pa.default_memory_pool().release_unused()  # a worker outlives its task

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import rows_of, small_batches
+from .shared import give_back, rows_of, small_batches
 
 NONE = np.iinfo(np.int64).max
 #: Longest piece in bytes that runs in lock-step.
@@ -248,5 +248,6 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "token_ids", into: str = "
                 part = batch.slice(i, 64)
                 out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out, pa.binary())], [*names, into])
+        give_back()
 
     return df.transform(small_batches).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import rows_of, small_batches
+from .shared import give_back, rows_of, small_batches
 
 TRAIN_CHARS = 40_000
 PER_DOC = 1_000
@@ -187,8 +187,10 @@ class Parser:
 
 @lru_cache(1)
 def parser(model: tuple[tuple[str, str], ...]) -> Parser:
-    """The worker's parser of this model."""
-    return Parser(model)
+    """The worker's parser of this model; what its making needed is given back."""
+    made = Parser(model)
+    give_back()
+    return made
 
 
 def fit(df: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.graph import components
 
-from .shared import rows_of, small_batches, written
+from .shared import give_back, rows_of, small_batches, written
 from .words import U, hashed_words, mix
 
 SKETCH = 64
@@ -240,6 +240,7 @@ def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array]
             yield emit()
         close()
         yield emit()
+        give_back()
 
     return df.select(group, "class", column).repartition(group).sortWithinPartitions(group, "class").transform(small_batches).mapInArrow(run, f"{group} long, a binary, b binary")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.sources.storage import dropped, fresh_path, shared_dir, written
 
-__all__ = ["WORD", "dropped", "fresh_path", "rows_of", "shared_dir", "small_batches", "table", "word_count", "written"]
+__all__ = ["WORD", "dropped", "fresh_path", "give_back", "rows_of", "shared_dir", "small_batches", "table", "word_count", "written"]
 
 #: The separators of words: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +39,14 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system; a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with their texts (null: empty), each of about so many bytes of text at most, one row at least."""
     for batch in batches:
@@ -52,4 +61,4 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20)
         if sizes:
             part = batch.slice(start)
             yield part, [t or "" for t in part.column(text).to_pylist()]
-    pa.default_memory_pool().release_unused()  # a worker outlives its task
+    give_back()

@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def carried(df: DataFrame, key: list[str], order: list[str], values: list[str], step: Callable[[tuple | None, tuple], tuple[tuple, tuple]], out: T.StructType) -> DataFrame:
+    """(key, out): what step makes of each row, in the key's order, from the state after the row before (None at first) and the row's values.
+
+    step gives (state, row). A key's rows pass through one task as a sorted stream of which a batch and one
+    state are in memory, so a hot key costs time there, not space.
+    """
+    rows = df.select(*dict.fromkeys([*key, *order, *values])).repartition(*key).sortWithinPartitions(*key, *order)
+    schema = T.StructType([*(df.schema[k] for k in key), *out.fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, state = None, None
+        for batch in batches:
+            made = []
+            keys = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            for name, row in zip(keys, zip(*(batch.column(v).to_pylist() for v in values), strict=True), strict=True):
+                if name != owner:
+                    owner, state = name, None
+                state, x = step(state, row)
+                made.append(x)
+            fresh = [pa.array([x[i] for x in made], kinds.field(f.name).type) for i, f in enumerate(out.fields)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *fresh], [*key, *out.names])
+
+    return rows.mapInArrow(run, schema)
 
 
 def anchored_windows(df: DataFrame, key: list[str], time: str, item: str, seconds: int, limit: int) -> DataFrame:
     """(key, item, allowed) with windows of so many seconds that start at a hit: the first hit after a window opens the next; hits beyond the limit are refused and do not extend it. time: epoch microseconds."""
-    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(item).alias("i")))).alias("hits"))
-    kind = dict(df.dtypes)[item]
-    start = F.struct(F.lit(-(1 << 60)).alias("begin"), F.lit(0).alias("n"), F.array().cast(f"array<struct<i:{kind},ok:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["t"] >= acc["begin"] + seconds * 1_000_000
-        n = F.when(fresh, F.lit(1)).otherwise(acc["n"] + 1)
-        return F.struct(F.when(fresh, x["t"]).otherwise(acc["begin"]).alias("begin"), n.alias("n"), F.array_append(acc["out"], F.struct(x["i"].alias("i"), (n <= limit).alias("ok"))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        (end, n), (t, i) = state or (None, 0), row
+        if t is not None and (end is None or t >= end):
+            end, n = t + seconds * 1_000_000, 0
+        return (end, n + 1), (i, n < limit)
 
-    return rows.select(*key, F.inline(F.aggregate("hits", start, step, lambda acc: acc["out"]))).withColumnRenamed("i", item).withColumnRenamed("ok", "allowed")
+    out = T.StructType([df.schema[item], T.StructField("allowed", T.BooleanType())])
+    return carried(df, key, [time, item], [time, item], step, out)
 
 
 def paced(df: DataFrame, key: list[str], time: str, item: str, interval: int) -> DataFrame:
@@ -35,22 +65,21 @@ def autoscaled(df: DataFrame, key: list[str], time: str, ceiling: int = 4) -> Da
     Pressure (cpu of 92 or more) takes a process away; a queue shorter than the pool for 20 s does too, 30 s after the last change;
     three healthy samples in a row with more work than processes add one, 15 s after the last change. time: seconds.
     """
-    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), "cpu", "queue"))).alias("samples"))
-    state = "struct<n:int,good:int,idle:bigint,changed:bigint,out:array<struct<t:bigint,processes:int,reason:string>>>"
-    start = F.struct(F.lit(1).alias("n"), F.lit(0).alias("good"), F.lit(None).cast("bigint").alias("idle"), F.lit(-(1 << 40)).alias("changed"), F.array().alias("out")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        n, t = acc["n"], x["t"]
-        pressed = (x["cpu"] >= 92) & (n > 1)
-        lazy = (x["cpu"] < 92) & (x["queue"] < n)
-        idle = F.when(lazy, F.coalesce(acc["idle"], t))
-        shrink = lazy & (n > 1) & (t - idle >= 20) & (t - acc["changed"] >= 30)
-        good = F.when((x["cpu"] < 92) & (x["queue"] > n) & (n < ceiling), acc["good"] + 1).otherwise(0)
-        grow = (good >= 3) & (t - acc["changed"] >= 15)
-        reason = F.when(pressed, "cpu_busy").when(shrink, "idle").when(grow, "grow").otherwise("hold")
-        now = F.when(pressed | shrink, n - 1).when(grow, n + 1).otherwise(n)
-        moved = pressed | shrink | grow
-        out = F.array_append(acc["out"], F.struct(t.alias("t"), now.alias("processes"), reason.alias("reason")))
-        return F.struct(now.alias("n"), F.when(moved, 0).otherwise(good).alias("good"), F.when(moved, F.lit(None)).otherwise(idle).cast("bigint").alias("idle"), F.when(moved, t).otherwise(acc["changed"]).alias("changed"), out.alias("out")).cast(state)
-
-    return rows.select(*key, F.inline(F.aggregate("samples", start, step, lambda acc: acc["out"])))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        (n, good, idle, changed), (t, cpu, queue) = state or (1, 0, None, None), row
+        healthy = cpu is not None and queue is not None and cpu < 92
+        quiet = lambda s: changed is None or t - changed >= s
+        idle = (t if idle is None else idle) if healthy and queue < n else None
+        good = good + 1 if healthy and n < min(queue, ceiling) else 0
+        reason, move = "hold", 0
+        if cpu is not None and cpu >= 92 and n > 1:
+            reason, move = "cpu_busy", -1
+        elif idle is not None and n > 1 and t - idle >= 20 and quiet(30):
+            reason, move = "idle", -1
+        elif good >= 3 and quiet(15):
+            reason, move = "grow", 1
+        n += move
+        return (n, 0, None, t) if move else (n, good, idle, changed), (t, n, reason)
+
+    return carried(df, key, [time, "cpu", "queue"], [time, "cpu", "queue"], step, T.StructType.fromDDL("t long, processes int, reason string"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.functions.text import digest, extension, nonempty
+from lumenfold.operators.folds import carried
 from lumenfold.plans.registry import query
 from lumenfold.sources.roles import galleries, photos, read, tenants
 
@@ -114,17 +116,14 @@ UNION ALL SELECT f.gallery_id, f.photo_id, f.i, CASE WHEN p.held >= 2 OR p.bytes
 SELECT gallery_id, photo_id, page::INT AS page FROM p""", "photos")
 def upload_pages(spark: SparkSession, sf_dir: str, files: int = 2, most: int = 300_000) -> DataFrame:
     """Files of a gallery packed in order into pages of so many files and bytes: a fold, as each page starts where the last one ended."""
-    rows = photos(spark, sf_dir).groupBy("gallery_id").agg(F.array_sort(F.collect_list(F.struct("photo_id", "size_bytes"))).alias("files"))
-    start = F.struct(F.lit(-1).alias("page"), F.lit(files).alias("held"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<struct<photo_id:bigint,page:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["held"] >= files) | (acc["bytes"] + x["size_bytes"] > most)
-        page = F.when(fresh, acc["page"] + 1).otherwise(acc["page"])
-        held = F.when(fresh, F.lit(1)).otherwise(acc["held"] + 1)
-        size = F.when(fresh, x["size_bytes"]).otherwise(acc["bytes"] + x["size_bytes"])
-        return F.struct(page.alias("page"), held.alias("held"), size.alias("bytes"), F.array_append(acc["out"], F.struct(x["photo_id"].alias("photo_id"), page.alias("page"))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        (page, held, size), (photo, more) = state or (-1, files, 0), (row[0], row[1] or 0)
+        if held >= files or size + more > most:
+            page, held, size = page + 1, 0, 0
+        return (page, held + 1, size + more), (photo, page)
 
-    return rows.select("gallery_id", F.inline(F.aggregate("files", start, step, lambda acc: acc["out"])))
+    return carried(photos(spark, sf_dir), ["gallery_id"], ["photo_id", "size_bytes"], ["photo_id", "size_bytes"], step, T.StructType.fromDDL("photo_id long, page int"))
 
 
 @query("""SELECT photo_id, concat('tenants/', tenant_id, '/events/', gallery_id, '/photos/', photo_id, '/original.jpg') AS original_key, concat('tenants/', tenant_id, '/events/', gallery_id, '/photos/', photo_id, '/thumbnail.jpg') AS thumbnail_key FROM photos JOIN galleries USING (gallery_id)""", "photos galleries")

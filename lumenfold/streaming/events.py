@@ -3,7 +3,7 @@
 Each function starts a query that takes what is there (availableNow) and returns what it wrote. The
 sink is a table of versions: every micro-batch appends the rows that changed with its number, and the
 reader takes the latest version of each key, so a restart that repeats a micro-batch changes nothing.
-State is bounded by the watermark where windows have one.
+State is bounded by the watermark, but for sessions(), whose result is complete at every micro-batch.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lumenfold.sources.storage import fresh_path
 
 LATE = "1 hour"
+#: A batch without events for so long, in event time, is over: its state goes, its last counters stay in the sink.
+SILENT_MS = 30 * 86_400_000
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,29 +69,38 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "12 hours") -> DataFra
 
 
 def terminal_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item's terminal transitions counted once, however often they are delivered."""
+    """Each item's terminal transitions counted once, however often they are delivered within LATE of each other.
+
+    The stream drops repeats and writes what is left; the counts are read from that table, so no state is kept for an item.
+    """
     e = source(spark, sf_dir).where(F.col("event_type").isin("purchase", "error"))
     keyed = e.withColumn("item_id", F.col("user_id") * 100 + F.col("event_id") % 20)
     both = keyed.unionByName(keyed)  # delivered twice
-    once = both.dropDuplicates(["item_id", "event_id"]).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    return drained(once, ["item_id"], "complete")
+    once = both.withWatermark("at", LATE).dropDuplicatesWithinWatermark(["item_id", "event_id"]).select("item_id", "event_id", "event_type")
+    return drained(once, ["item_id", "event_id"], "append").groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"))
 
 
 def batch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of each batch in keyed state: an item counts once, by its first terminal transition of the stream's order."""
-    e = source(spark, sf_dir).select("user_id", (F.col("user_id") * 100 + F.col("event_id") % 20).alias("item_id"), "event_id", F.unix_micros("at").alias("us"), "event_type")
+    """Counters of each batch in keyed state: an item counts once, by its first terminal transition of the stream's order. State of batches that are silent for SILENT_MS goes."""
+    e = source(spark, sf_dir).withWatermark("at", LATE).select("at", "user_id", (F.col("user_id") * 100 + F.col("event_id") % 20).alias("item_id"), "event_id", F.unix_micros("at").alias("us"), "event_type")
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         items, ended = (set(x) for x in state.get) if state.exists else (set(), set())
         first: dict[int, tuple] = {i: tuple(t) for i, *t in ended}
+        until = state.getCurrentWatermarkMs() + 1
         for part in parts:
+            until = max(until, int(part["us"].max()) // 1000 + SILENT_MS)
             items |= set(part["item_id"].tolist())
             for i, u, n, kind in part[part["event_type"].isin(["purchase", "error"])][["item_id", "us", "event_id", "event_type"]].itertuples(index=False):
                 first[i] = min(first.get(i, (u, n, kind == "purchase")), (u, n, kind == "purchase"))
         state.update((sorted(items), [(i, *t) for i, t in sorted(first.items())]))
+        state.setTimeoutTimestamp(until)
         ok = sum(t[2] for t in first.values())
         yield pd.DataFrame({"batch_id": [key[0]], "total": [len(items)], "succeeded": [ok], "failed": [len(first) - ok]})
 
     kept = "items array<long>, ended array<struct<i:long,us:long,n:long,ok:boolean>>"
-    rows = e.groupBy("user_id").applyInPandasWithState(fold, "batch_id long, total long, succeeded long, failed long", kept, "update", GroupStateTimeout.NoTimeout)
+    rows = e.groupBy("user_id").applyInPandasWithState(fold, "batch_id long, total long, succeeded long, failed long", kept, "update", GroupStateTimeout.EventTimeTimeout)
     return drained(rows, ["batch_id"], "update")

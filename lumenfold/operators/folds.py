@@ -39,7 +39,7 @@ def carried(df: DataFrame, key: list[str], order: list[str], values: list[str],
 
 
 def anchored_windows(df: DataFrame, key: list[str], time: str, item: str, seconds: int, limit: int) -> DataFrame:
-    """(key, item, allowed) with windows of so many seconds that start at a hit: the first hit after a window opens the next; hits beyond the limit are refused and do not extend it. time: epoch microseconds."""
+    """(key, item, allowed) with windows of so many seconds that start at a hit: the first hit after a window opens the next; hits beyond the limit are refused and do not extend it. time: epoch microseconds; a hit without one comes first and opens no window."""
 
     def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
         (end, n), (t, i) = state or (None, 0), row

@@ -166,6 +166,12 @@ def test_geometry(spark):
 def test_folds(spark):
     hits = spark.createDataFrame([("a", s * 1_000_000, s) for s in (0, 1, 2, 3600, 3601, 7300)], "k string, t long, i long")
     assert [r.allowed for r in anchored_windows(hits, ["k"], "t", "i", 3600, 2).orderBy("i").collect()] == [True, True, False, True, True, True]
+    odd = spark.createDataFrame([(None, 5, 1), ("b", None, 2), ("b", 0, 3), (None, 5, 4), ("b", 0, 3)], "k string, t long, i long")
+    found = sorted((r.k or "", r.i, r.allowed) for r in anchored_windows(odd, ["k"], "t", "i", 3600, 1).collect())
+    assert found == [("", 1, True), ("", 4, False), ("b", 2, True), ("b", 3, False), ("b", 3, True)]  # a hit without a time opens no window
+    assert anchored_windows(odd.limit(0), ["k"], "t", "i", 3600, 1).count() == 0
+    long = spark.range(30_000).select(F.lit("a").alias("k"), (F.col("id") * 1_000_000).alias("t"), F.col("id").alias("i"))  # several Arrow batches of one key
+    assert anchored_windows(long, ["k"], "t", "i", 100, 3).where("allowed").count() == 900
     arrivals = spark.createDataFrame([("a", t, i) for i, t in enumerate((0, 100, 200, 20_000, 20_001))], "k string, t long, i long")
     assert [r.slot for r in paced(arrivals, ["k"], "t", "i", 3000).orderBy("i").collect()] == [0, 3000, 6000, 20_000, 23_000]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc
+from . import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc, whitening
 from .shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -77,9 +77,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.floor(F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every whole vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
-    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe]
+    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe, op12_embedding_whitening]
     return {f.__name__: f for f in own}
 
 

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc
+from lumenfold.llm import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc, whitening
 from lumenfold.operators.graph import components
 from lumenfold.llm.queries import PATTERN, VOCABULARY
 from lumenfold.llm.shared import fresh_path
@@ -582,3 +582,50 @@ def test_bpe_table_of_pieces_is_bounded(monkeypatch):
 
 def test_shared_folder_is_the_sessions(spark):
     assert fresh_path(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+# 12 -----------------------------------------------------------------------------------------------
+
+
+def whitened_by_hand(rows, d, count=4):
+    kept = [(i, [math.floor(float(c) * 256) for c in v]) for i, v in rows if v is not None and len(v) == d and all(c is not None and math.isfinite(c) for c in v)]
+    fit = np.array(sorted({tuple(x) for _, x in kept}), float)
+    total = [int(s) for s in fit.sum(0)]
+    n, level = len(fit), fit - fit.mean(0)
+    value, vector = np.linalg.eigh(level.T @ level / n)
+    out = {}
+    for i, x in kept:
+        dev = sum((n * a - s) ** 2 for a, s in zip(x, total, strict=True))
+        for k in range(min(count, d)):
+            e, u = value[-1 - k], vector[:, -1 - k]
+            out.setdefault((i, k + 1), []).append((n, dev, abs((np.array(x) - fit.mean(0)) @ u / math.sqrt(e)), e / value.sum()))
+    return out
+
+
+def test_whitening(spark):
+    rnd = np.random.default_rng(12)
+    wide = (rnd.normal(size=(300, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.2])).astype("float32").tolist()
+    rows = list(enumerate(wide)) + [(0, wide[0]), (1000, wide[7]), (None, wide[8]), (1001, None), (1002, []), (1003, [float("nan")] * 6), (1004, [float("inf"), *wide[1][1:]]), (1005, [None, *wide[1][1:]])]
+    short = [(2000 + i, v) for i, v in enumerate(rnd.normal(size=(40, 3)).astype("float32").tolist())]
+    df = spark.createDataFrame(rows + short, "vec_id long, embedding array<float>").withColumn("component", F.lit("x")).withColumn("x", F.lit(1)).repartition(3)
+    got = defaultdict(list)
+    for r in whitening.whiten(df).collect():
+        got[r.vec_id, r.component].append((r.n, r.deviation, abs(r.whitened), r.explained))
+        assert 0 <= r.identity_error < 1e-9
+    want = whitened_by_hand(rows, 6) | whitened_by_hand(short, 3)
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    for k, v in want.items():
+        for a, b in zip(sorted(got[k]), sorted(v), strict=True):
+            assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], rtol=1e-7, atol=1e-9)
+
+
+def test_whitening_of_flat_and_empty_tables(spark):
+    kind = "vec_id long, embedding array<double>"
+    assert whitening.whiten(spark.createDataFrame([], kind)).collect() == []
+    flat = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 3.0]), (3, [1.0, 3.0])], kind)).orderBy("vec_id", "component").collect()
+    assert [(r.vec_id, r.component, r.n, r.deviation) for r in flat] == [(i, k, 2, 256**2) for i in (1, 2, 3) for k in (1, 2)]
+    assert [r.whitened for r in flat if r.component == 2] == [None] * 3 and [r.explained for r in flat[:2]] == [1.0, 0.0]
+    assert abs(flat[0].whitened) == pytest.approx(1) and flat[0].identity_error < 1e-12
+    assert [(r.whitened, r.explained, r.deviation) for r in whitening.whiten(spark.createDataFrame([(1, [2.0])], kind)).collect()] == [(None, None, 0)]
+    huge = whitening.whiten(spark.createDataFrame([(1, [1e14, 0.0]), (2, [-1e14, 1.0])], kind)).collect()
+    assert all(r.deviation is None and math.isfinite(r.whitened) for r in huge if r.component == 1)

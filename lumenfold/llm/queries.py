@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc, whitening
+from . import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, token_files, warc, whitening
 from .shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -77,6 +78,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.floor(F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, tokens and digest of ids, from token files; each document ends with id 1."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 1)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four whitened components of every whole vector."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -84,7 +90,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
-    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe, op12_embedding_whitening]
+    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe, op11_token_files, op12_embedding_whitening]
     return {f.__name__: f for f in own}
 
 

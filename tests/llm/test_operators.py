@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,11 +14,13 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lumenfold.llm import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, warc, whitening
+from lumenfold.llm import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, simple8b, source_mix, suffix_dedup, token_files, warc, whitening
 from lumenfold.operators.graph import components
-from lumenfold.llm.queries import PATTERN, VOCABULARY
+from lumenfold.llm.queries import PATTERN, VOCABULARY, WORD_TOKENIZER, queries
 from lumenfold.llm.shared import fresh_path
+from lumenfold.llm.word_tokens import Words
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -584,6 +587,81 @@ def test_shared_folder_is_the_sessions(spark):
     assert fresh_path(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
 
 
+# 11 -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1024])
+def test_simple8b_round_trip(block):
+    rnd = np.random.default_rng(block)
+    kinds = [rnd.integers(0, 2, 500), rnd.integers(0, 50_000, 3000), np.zeros(400, np.int64), np.array([0]), np.zeros(0, np.int64)]
+    kinds += [rnd.integers(0, 2**int(b), 50, dtype=np.uint64) for b in rnd.integers(1, 64, 40)] + [np.array([2**64 - 1, 0, 2**60, 2**60 - 1, 5], np.uint64)]
+    for values in [*kinds, np.concatenate([k.astype(np.uint64) for k in kinds])]:
+        values = values.astype(np.uint64)
+        words, offsets = simple8b.encode(values, block)
+        assert simple8b.decode(words).tolist() == values.tolist()
+        for k, i in enumerate(range(0, len(values), block)):
+            assert simple8b.decode(words[offsets[k] : offsets[k + 1]]).tolist() == values[i : i + block].tolist()
+        assert offsets[-1] == len(words) <= 2 * len(values)
+    assert len(simple8b.encode(np.ones(60), 64)[0]) == 1 and len(simple8b.encode(np.full(300, 40_000), 1024)[0]) == 100
+
+
+ODD_TEXTS = [
+    "", "Hello, WORLD! it's 12 o'clock", "  two  blanks\u00a0and\u2003wide\tones \r\n", "ΣΑΣ İstanbul ŉ ſtraße ǅ", "e\u0301 cafe\u0301 \u0301x", "<|startoftext|>a<|endoftext|> <|STARTOFTEXT|>",
+    "日本語 텍스트 \u1100\u1161", "a\x1cb \x85c \x00 \x7f", "don't we'LL I'M 'sss ''s", "½ ² ٣ ①", "#" * 300 + " " + "ab" * 900, "🙂🙂 👩‍👩‍👧 ﬁ", "_under_score_ --- ***",
+]
+
+
+def test_word_tokens_are_those_of_the_library():
+    with open(WORD_TOKENIZER, "rb") as f:
+        own = Words(f.read())
+    library = Tokenizer.from_file(WORD_TOKENIZER)
+    assert own.chunked
+    texts = [*ODD_TEXTS, *("".join(map(chr, range(a, a + 64))) for a in range(0, 0x250, 64)), " ".join(map(chr, range(0x21, 0x180)))]
+    rnd = random.Random(11)
+    texts += ["".join(rnd.choice("aÀ ésS'’t0_-\n\tıſß!") for _ in range(rnd.randrange(1, 60))) for _ in range(500)]
+    for text, packed in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    bare = Words(Tokenizer(library.model).to_str().encode())
+    assert not bare.chunked and np.frombuffer(bare.encode(["ab"])[0], "<u4").tolist() == Tokenizer(library.model).encode("ab").ids
+
+
+def tokens_by_hand(rows):
+    library, out, start = Tokenizer.from_file(WORD_TOKENIZER), [], 0
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_token_files(spark):
+    rnd = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(100 + i, babble(rnd, rnd.randrange(0, 90))) for i in range(300)] + [(None, "first"), (-5, None), (5000, babble(rnd, 30_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("tie", F.lit(1)).repartition(3)
+    path = fresh_path(spark, "tokens")
+    manifest = token_files.write(df, WORD_TOKENIZER, 1, path, file_bytes=4000)
+    assert manifest.count() > 4 and manifest.agg(F.sum("n_docs")).first()[0] == len(rows)
+    got = [tuple(r) for r in token_files.read(spark, path, manifest).collect()]
+    want = tokens_by_hand(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
+    assert sorted(got, key=lambda r: r[1]) == want
+    name = manifest.orderBy("task", "part").first()["name"]
+    content = spark.read.format("binaryFile").load(f"{path}/{name}").first()["content"]
+    reader = token_files.Reader(bytes(content))
+    library = Tokenizer.from_file(WORD_TOKENIZER)
+    held = {i: t for i, t in rows}
+    for i, start, count, _ in reader.documents():
+        assert reader.tokens(start, count).tolist() == [*library.encode(held[i] or "", add_special_tokens=False).ids, 1]
+    assert token_files.round_trip(df.limit(0), WORD_TOKENIZER, 1).collect() == []
+    twice = token_files.round_trip(spark.createDataFrame([(7, "same words")] * 40 + [(7, "other")], "doc_id long, text string").repartition(4), WORD_TOKENIZER, 1).collect()
+    assert sorted(r.start for r in twice)[:2] == [0, min(r.n_tokens for r in twice if r.start == 0)] and len({r.start for r in twice}) == 41 and {r.doc_id for r in twice} == {7}
+
+
+def test_token_file_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
+    assert sorted(map(tuple, queries()["op11_token_files"](spark, folder).collect())) == tokens_by_hand(rows)
+
+
 # 12 -----------------------------------------------------------------------------------------------
 
 

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, token_files, warc, whitening
+from . import alignment, ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, source_mix, suffix_dedup, token_files, warc, whitening
 from .shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -88,9 +90,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens over every document."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
-    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe, op11_token_files, op12_embedding_whitening]
+    own = [op1_nearest_neighbours, op2_near_dedup, op3_language_id, op4_source_mix, op5_importance_resampling, op6_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_warc_round_trip, op10_byte_bpe, op11_token_files, op12_embedding_whitening, op13_cross_tokenizer_alignment]
     return {f.__name__: f for f in own}
 
 

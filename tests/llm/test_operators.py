@@ -12,15 +12,16 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenfold.llm import ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, simple8b, source_mix, suffix_dedup, token_files, warc, whitening
+from lumenfold.llm import alignment, ann, byte_bpe, importance, language_id, near_dedup, quality_cascade, secret_scan, simple8b, source_mix, suffix_dedup, token_files, warc, whitening
 from lumenfold.operators.graph import components
-from lumenfold.llm.queries import PATTERN, VOCABULARY, WORD_TOKENIZER, queries
+from lumenfold.llm.queries import BYTE_TOKENIZER, PATTERN, PIECE_TOKENIZER, VOCABULARY, WORD_TOKENIZER, queries
 from lumenfold.llm.shared import fresh_path
-from lumenfold.llm.word_tokens import Words
+from lumenfold.llm.word_tokens import LETTER, Words
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -707,3 +708,73 @@ def test_whitening_of_flat_and_empty_tables(spark):
     assert [(r.whitened, r.explained, r.deviation) for r in whitening.whiten(spark.createDataFrame([(1, [2.0])], kind)).collect()] == [(None, None, 0)]
     huge = whitening.whiten(spark.createDataFrame([(1, [1e14, 0.0]), (2, [-1e14, 1.0])], kind)).collect()
     assert all(r.deviation is None and math.isfinite(r.whitened) for r in huge if r.component == 1)
+
+
+# 13 -----------------------------------------------------------------------------------------------
+
+
+def aligned_by_hand(rows):
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest) of each row, and its groups, by the two libraries."""
+    byte, piece = Tokenizer.from_file(BYTE_TOKENIZER), sentencepiece.SentencePieceProcessor(model_file=PIECE_TOKENIZER)
+    byte.encode_special_tokens = True
+    back = {letter: b for b, letter in LETTER.items()}
+    found, count = [], Counter()
+    for i, t in rows:
+        raw = b" " + (t or "").encode()
+        a = byte.encode(" " + (t or ""), add_special_tokens=False).ids
+        b = piece.encode(t or "")
+        a_raw = [bytes(back[c] for c in byte.id_to_token(x)) for x in a]
+        b_raw = [bytes([int(p[3:5], 16)]) if piece.is_byte(x) else p.replace("▁", " ").encode() for x, p in zip(b, map(piece.id_to_piece, b), strict=True)]
+        if not t or b"".join(a_raw) != raw or b"".join(b_raw) != raw:
+            a = b = []
+        a_end, b_end = np.cumsum([len(x) for x in a_raw]).tolist() if a else [], np.cumsum([len(x) for x in b_raw]).tolist() if b else []
+        cuts = sorted(set(a_end) & set(b_end))
+        links = [(a[a_end.index(c)], b[b_end.index(c)]) for c in cuts]
+        groups = [([x for x, e in zip(a, a_end, strict=True) if low < e <= high], [x for x, e in zip(b, b_end, strict=True) if low < e <= high]) for low, high in zip([0, *cuts], cuts, strict=False)]
+        count.update(links)
+        found.append((i, a, b, links, groups))
+    most = defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    out = []
+    for i, a, b, links, groups in found:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((i, len(a), len(b), len(groups), len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    return out, {i: groups for i, _, _, _, groups in found}
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def test_alignment(spark):
+    rnd = random.Random(13)
+    odd = [*ODD_TEXTS, None, " ", "  lead", "trail  ", "a  b   c \n\n d\t e", "▁x ▁ y", "tab\tand ▁", "naïve café — “quotes” …", "　wide　", "<s> </s> <unk> <0x41>", "it's we'll 's", "日本語テキスト 日本", "1234567890 12 3"]
+    rows = list(enumerate(odd)) + [(100 + i, "".join(rnd.choice(["a", "B", " ", " ", "\n", "é", "'s", "1", "▁"[: rnd.randrange(40) == 0], "…", "，", " the", "ing", "-"]) for _ in range(rnd.randrange(80)))) for i in range(200)]
+    rows += [(None, "same text"), (950, "same text"), (950, "same text"), (900, babble(rnd, 900))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("links", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("a_ids", F.lit(2)).withColumn("kept", F.lit(3)).repartition(3)
+    found = alignment.align(df, BYTE_TOKENIZER, PIECE_TOKENIZER)
+    assert "kept" in found.columns
+    want, groups = aligned_by_hand(rows)
+    by = lambda r: (repr(r[0]), r[1:])
+    assert sorted((tuple(r) for r in found.select(*ALIGNED).collect()), key=by) == sorted(want, key=by)
+    assert sum(r[1] == 0 for r in want) > 3 and any(r[3] != r[1] for r in want)
+    made = alignment.linked(alignment.tokenised(spark.createDataFrame(rows[:-4], "doc_id long, text string"), BYTE_TOKENIZER, PIECE_TOKENIZER)).select("doc_id", alignment.groups().alias("g")).collect()
+    assert {r.doc_id: [(g.a, g.b) for g in r.g] for r in made} == {i: groups[i] for i, _ in rows[:-4]}
+    assert alignment.align(df.limit(0), BYTE_TOKENIZER, PIECE_TOKENIZER).collect() == []
+
+
+def test_alignment_scores_without_a_whole_broadcast(spark):
+    links = spark.createDataFrame([(1, [1, 1, 2, 9], [5, 5, 5, 7]), (2, [2, 1], [5, 6]), (3, [], [])], "key long, a array<int>, b array<int>")
+    counts = alignment.counted(links)
+    assert sorted(map(tuple, counts.collect())) == [(1, 5, 2, True), (1, 6, 1, True), (2, 5, 2, True), (9, 7, 1, True)]
+    want = [(1, 4, 2 + 2 + 2 + 1), (2, 2, 3)]
+    for limit, hot in ((10, 10), (0, 3), (0, 10_000), (0, 1)):
+        assert sorted(map(tuple, alignment.scored(links, counts, "key", limit, hot).collect())) == want
+
+
+def test_alignment_of_long_texts_is_linear(spark):
+    rnd = random.Random(14)
+    text = babble(rnd, 150_000)
+    began = time.perf_counter()
+    row = alignment.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTE_TOKENIZER, PIECE_TOKENIZER).first()
+    assert row.n_links > 300_000 and time.perf_counter() - began < 60

@@ -174,7 +174,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "doc
 
         for batch, texts in rows_of(batches, "text"):
             for i, packed in zip(batch.column("key").to_pylist(), encoder.encode(texts), strict=True):
-                writer.add(i, np.concatenate([np.frombuffer(packed, "<u4").astype(np.uint64), end]))
+                writer.add(i, np.concatenate([np.frombuffer(packed, np.uint32).astype(np.uint64), end]))
                 if writer.size() >= file_bytes:
                     yield put()
         if writer.ids:

@@ -13,15 +13,15 @@ import itertools
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Finished chunks and pieces that a task keeps.
-KEEP = 200_000
+#: Finished chunks, and pieces, that a worker keeps, of some 200 bytes each.
+KEEP = 500_000
 #: Chunks of one text that are in memory at once.
 BLOCK = 200_000
 #: Letters of one case pair each, whose lower case is one composed letter: printable ASCII, Latin-1 and Latin Extended-A but for U+0130.
@@ -59,45 +59,45 @@ class Words:
         self.library = Tokenizer.from_str(raw.decode())
         self.model = self.library.model
         self.chunked = cuts_at_blanks(config)
-        self.special = tuple(t["content"] for t in config["added_tokens"])
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in config["added_tokens"]) or r"(?!)")
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER)
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        """Packed ids of a piece that is not kept yet."""
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER)
+        found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Encode chunks that are not kept yet."""
-        whole = []
+        whole, get, own = [], self.pieces.get, self._piece
+        plain, special, cut = PLAIN.fullmatch, self.special.search, PIECE.findall
         for raw in chunks:
             chunk = raw.decode()
-            if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-                self.chunks[raw] = b"".join(map(self._piece, PIECE.findall(chunk.lower())))
+            if plain(chunk) and not special(chunk):
+                self.chunks[raw] = b"".join([get(p) or own(p) for p in cut(chunk.lower())])
             else:
                 whole.append(raw)
         for i in range(0, len(whole), 1024):
             part = whole[i : i + 1024]
             made = self.library.encode_batch_fast([raw.decode() for raw in part], add_special_tokens=False)
-            self.chunks.update((raw, np.array(e.ids, "<u4").tobytes()) for raw, e in zip(part, made, strict=True))
+            self.chunks.update((raw, array("I", e.ids).tobytes()) for raw, e in zip(part, made, strict=True))
 
     def _of(self, chunks: list[bytes]) -> bytes:
         for name in ("chunks", "pieces"):  # what came early is what comes often
             kept = getattr(self, name)
             if len(kept) > KEEP:
                 setattr(self, name, dict(itertools.islice(kept.items(), KEEP // 2)))
-        fresh = {c for c in chunks if c not in self.chunks}
+        fresh = set(chunks).difference(self.chunks)
         if fresh:
             self._learn(fresh)
         return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids (little-endian unsigned 32-bit) of each text, without special tokens of the library's own."""
+        """Packed ids (unsigned 32-bit of the machine's order) of each text, without special tokens of the library's own."""
         if not self.chunked:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
         for text in texts:
             chunks = text.encode().split()

@@ -104,3 +104,23 @@ def batch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = "items array<long>, ended array<struct<i:long,us:long,n:long,ok:boolean>>"
     rows = e.groupBy("user_id").applyInPandasWithState(fold, "batch_id long, total long, succeeded long, failed long", kept, "update", GroupStateTimeout.EventTimeTimeout)
     return drained(rows, ["batch_id"], "update")
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as commands of the life cycle: a batch for each user, six items in each; twelve of the log's days pass as one, so that leases and idle hours matter."""
+    return commands_of(source(spark, sf_dir))
+
+
+def commands_of(e: DataFrame) -> DataFrame:
+    """commands() of events with their time as `at`."""
+    number = F.col("event_id")
+    ms = F.floor(F.unix_micros("at") / 12000).cast("long")
+    of = lambda k, *kinds: F.element_at(F.array(*map(F.lit, kinds)), (number % k + 1).cast("int"))
+    kind = (
+        F.when(F.col("event_type") == "view", "append").when(F.col("event_type") == "signup", of(8, "seal", "finalize", "create", "finalize", "create", "create", "create", "create"))
+        .when(F.col("event_type") == "click", of(5, "retry", "claim", "confirm", "start", "start")).when(F.col("event_type") == "purchase", "succeed").otherwise(of(3, "skip", "fail", "cancel"))
+    )
+    return e.select(
+        F.col("user_id").alias("batch_id"), (number % 6).alias("item_id"), F.timestamp_millis(ms).alias("at"), ms.alias("ms"), number.alias("seq"), kind.alias("kind"), (number % 4).alias("token"),
+        F.when(number % 2 == 1, number % 8).alias("expected"), (F.floor("value").cast("long") % 4).alias("faces"), of(3, "cpu", "gpu", "tpu").alias("processor"),
+    )

@@ -99,7 +99,8 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, n_shingles, class, sketch) of each row; class and sketch are null for empty sets and null ids."""
+    """(id, n_shingles, class, sketch) of each row; class and sketch are null for empty sets and null ids. Ids are of any type that has an order."""
+    kind = df.select(F.col(key).alias("id")).schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in rows_of(batches, text):
@@ -113,7 +114,7 @@ def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 rows[i], names[i] = next(mins), _digest(sets[i])
             yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], ["id", "n_shingles", "class", "sketch"])
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias(text)).transform(small_batches).mapInArrow(run, "id long, n_shingles long, class binary, sketch array<int>")
+    return df.select(F.col(key).alias("id"), F.col(text).alias(text)).transform(small_batches).mapInArrow(run, f"id {kind}, n_shingles long, class binary, sketch array<int>")
 
 
 def roots(classes: DataFrame, trees: int, first: int) -> DataFrame:

@@ -55,3 +55,38 @@ def test_stages(spark):
     for r in tables["byte_bpe"]:
         assert r["round_trip"]
         assert np.frombuffer(r["token_ids"], "<u4").tolist() == library.encode_ordinary(texts[r["doc_id"]])
+
+
+def test_short_and_foreign_texts_stay(spark):
+    """Language ID drops what has no letter and long texts of random letters, not short texts or unknown scripts."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").drop("source")
+    more = [(9001, "Hi"), (9002, "OK"), (9003, "I am"), (9004, "Привет, мир! " * 20), (9005, "日本語のテキスト" * 20), (9006, "x"), (9101, NOISE), (9102, "12 !"), (9103, None), (9104, "")]
+    docs = given.unionByName(spark.createDataFrame([(i, t, None, 0) for i, t in more], given.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify(spark, docs, FOLDER).collect()}
+    assert {i for i, _ in more if i in kept} == {9001, 9002, 9003, 9004, 9005, 9006}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.identify(spark, unlabelled, FOLDER).collect()} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_dedup_of_one_id_with_several_texts(spark):
+    """Each text of an id is judged on its own, and which of equal rows stays does not depend on their order."""
+    t = " ".join(f"first{i}" for i in range(60))
+    u = " ".join(f"second{i}" for i in range(60))
+    kind = "doc_id long, text string, lang string, source string, _text_hash string, _key string"
+    rows = [(3, t, "en", "a", "h", "k"), (5, u, "en", "a", "h", "k"), (5, f"{t} more", "en", "a", "h", "k"), (7, u, "en", "b", "h", "k"), (8, None, None, None, None, None), (9, "", "en", "a", "h", "k"), (None, t, "en", "a", "h", "k"), (None, t, "en", "a", "h", "k"), (-4, f"{u} {u}x tail", "en", "a", "h", "k")]
+    rows += [(11, "one two three four five six", "en", s, "h", k) for s in "abc" for k in "xyz"] + [(12, "repeated row of this id once", "en", "a", "h", "k")] * 3
+    found = []
+    for order in (rows, rows[::-1]):
+        stage = corpus_pipeline.deduplicate(spark, spark.createDataFrame(order, kind).repartition(3), FOLDER)
+        assert stage.columns == ["doc_id", "text", "lang", "source", "_text_hash", "_key"]
+        found.append(sorted(map(tuple, stage.collect()), key=repr))
+    assert found[0] == found[1]
+    assert sorted((r[0], r[1]) for r in found[0] if r[0] is not None and r[0] < 10 and r[1]) == [(-4, f"{u} {u}x tail"), (3, t)]  # -4 repeats the words of 5 and 7
+    assert [r[0] for r in found[0] if r[0] in (11, 12)] == [11, 12] and sum(r[0] is None for r in found[0]) == 2 and {8, 9} <= {r[0] for r in found[0]}
+
+
+def test_empty_table_through_all_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame([], stage(spark, docs, FOLDER).schema)
+    assert docs.count() == 0

@@ -1,15 +1,15 @@
 """Alignment of two tokenizers over the same bytes.
 
-Tokenising gives for each text, of either side, the ids, the byte offset after each token, and for each byte offset the
+Tokenising gives for each text, of either side, the byte offset after each token, and for each byte offset the
 token that ends there. All after that is SQL functions: array_intersect of the two arrays of ends finds where both
-tokenizers cut; there, transform looks up the two tokens that end together, the links, and sequence numbers the tokens since the link
-before, which are the groups. Pairs of linked ids are counted over the corpus with sums on the map side.
+tokenizers cut; there, transform looks up the two tokens that end together, the links, and sequence runs over the offsets since the link
+before, whose tokens are the group. Nearly all groups are two tokens of one length, which need no such run. Pairs of linked ids are counted over the corpus with sums on the map side.
 
 Counts go back to the documents by a broadcast where there are at most BROADCAST pairs. Beyond that, only pairs that
 hold a share of 1 / HOT of all links are broadcast, at most HOT of them, and the others are joined by a shuffle in which no key is hot.
 
 Defined cases: a text that is null, empty, or that either tokenizer does not give back byte by byte has no tokens, so zero counts, an
-empty digest and no links; texts of up to 2^30 bytes; rows repeat as they come, each counts, ids may be null; an empty table gives an empty table;
+empty digest and no links; tokens have up to 2^11 bytes and ids up to 2^20; rows repeat as they come, each counts, ids may be null; an empty table gives an empty table;
 columns of the given table pass through align() unless they have a name that it makes.
 """
 
@@ -19,7 +19,7 @@ import itertools
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +36,7 @@ from .shared import rows_of, small_batches, written
 from .word_tokens import LETTER
 
 #: Finished parts of texts that a worker keeps, of some 300 bytes each.
-KEEP = 500_000
+KEEP = 300_000
 #: Pairs that may be broadcast, of some 70 bytes each.
 BROADCAST = 1_000_000
 #: A pair with a share of one in so many links is hot.
@@ -46,7 +46,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A single blank before a byte that begins no white space, and not after U+2581, which the piece tokenizer takes for a blank:
 #: neither tokenizer has a token across the place before it.
 CUT = re.compile(rb"(?<=[^\x20\x81]) (?=[!-~\xc3-\xdf\xe4-\xf4])")
-ARRAYS = ("a_ids", "b_ids", "a_ends", "b_ends", "a_starts", "b_starts", "a_at", "b_at")
+ARRAYS = ("a_ends", "b_ends", "a_at", "b_at")
+#: A token within a_at and b_at: its length in bytes above these bits, its id in them.
+ID_BITS = 20
 
 
 class ByteSide:
@@ -55,8 +57,6 @@ class ByteSide:
     def __init__(self, raw: bytes) -> None:
         config = json.loads(raw)
         vocab, byte_of = config["model"]["vocab"], {letter: b for b, letter in LETTER.items()}
-        self.library = Tokenizer.from_str(raw.decode())
-        self.library.encode_special_tokens = True
         special = {t["content"] for t in config["added_tokens"]}
         self.token = [b""] * (max([*vocab.values(), *(t["id"] for t in config["added_tokens"])]) + 1)
         for entry, i in vocab.items():
@@ -69,6 +69,9 @@ class ByteSide:
         self.cuts = bool(plain and made == sorted(set(made)) and rest == set(made) and not any(config["model"].get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "dropout")))
         ranks = {self.token[i]: i for e, i in vocab.items() if e not in special}
         self.lossless = self.cuts
+        self.library = None if self.cuts else Tokenizer.from_str(raw.decode())
+        if self.library:
+            self.library.encode_special_tokens = True
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.cuts else None  # ids in order of merges are ranks
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -156,8 +159,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def tokenised(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """df without its text, with a_ids and b_ids; a_ends and b_ends, the byte offset after each token of blank and text; a_starts and b_starts, that before it;
-    a_at and b_at, the token that ends at each offset, or -1.
+    """df without its text, with a_ends and b_ends, the byte offset after each token of blank and text, and a_at and b_at: for each offset the token
+    that ends there, as its length << ID_BITS | its id, or -1.
 
     a_path: a byte-level file of the tokenizers library; b_path: a model of the sentencepiece library; both on the driver.
     """
@@ -174,51 +177,52 @@ def tokenised(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = sides(*held.value)
         for part, texts in rows_of(batches, "_text"):
-            ids = pair.encode(texts)
-            ends = [[np.cumsum(size[x], dtype=np.int32) for x in of] for size, of in zip(pair.size, ids, strict=True)]
-            starts = [[np.concatenate([[0], e[:-1]]) if len(e) else e for e in of] for of in ends]
-            at = []
-            for of in ends:
-                at.append([])
-                for e in of:
-                    mark = np.full(int(e[-1]) + 1 if len(e) else 0, -1, np.int32)
-                    mark[e] = np.arange(len(e), dtype=np.int32)
-                    at[-1].append(mark)
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(_lists(list(x)) for x in (*ids, *ends, *starts, *at))], [*names, *ARRAYS])
+            ends, at = ([], []), ([], [])
+            for k, found in enumerate(pair.encode(texts)):
+                for ids in found:
+                    size = pair.size[k][ids]
+                    end = np.cumsum(size, dtype=np.int32)
+                    mark = np.full(int(end[-1]) + 1 if len(end) else 0, -1, np.int32)
+                    mark[end] = size << ID_BITS | ids
+                    ends[k].append(end)
+                    at[k].append(mark)
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *map(_lists, (*ends, *at))], [*names, *ARRAYS])
 
     rows = df.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text}`").alias("_text"))
     return rows.transform(small_batches).mapInArrow(run, T.StructType([*keep, *(T.StructField(n, ints, False) for n in ARRAYS)]))
 
 
+def _id(token: Column) -> Column:
+    return token.bitwiseAND((1 << ID_BITS) - 1)
+
+
+def _within(k: Column, at: str, one: Callable[[Column], Column]) -> Column:
+    """one(id) of each of a side's tokens in group k: those that end after the cut before it, up to its own. No slice(): within a lambda it copies the whole array."""
+    places = F.sequence(F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("_cuts"), k - 1)) + 1, F.get(F.col("_cuts"), k))
+    return F.transform(F.filter(F.transform(places, lambda e: F.get(F.col(at), e)), lambda t: t >= 0), lambda t: one(_id(t)))
+
+
 def linked(df: DataFrame) -> DataFrame:
-    """tokenised() with links, the indexes (i, j) of the tokens of both sides that end together, in order, in place of ends and offsets."""
-    cuts = df.select("*", F.array_intersect("a_ends", "b_ends").alias("_cuts")).drop("a_ends", "b_ends")
-    both = F.transform("_cuts", lambda e: F.struct(F.get(F.col("a_at"), e).alias("i"), F.get(F.col("b_at"), e).alias("j")))
-    return cuts.select("*", both.alias("links")).drop("_cuts", "a_at", "b_at")
+    """tokenised() with n_a and n_b, and links: for each place where both sides cut the ids a and b that end there, and its group as text, `a1,a2|b1,b2`, if it is no more than these."""
+    cuts = df.select("*", F.array_intersect("a_ends", "b_ends").alias("_cuts"), F.size("a_ends").cast("long").alias("n_a"), F.size("b_ends").cast("long").alias("n_b")).drop("a_ends", "b_ends")
+    token = lambda at: F.transform("_cuts", lambda e: F.get(F.col(at), e))
 
+    def link(a: Column, b: Column) -> Column:
+        alone = F.shiftright(a, ID_BITS) == F.shiftright(b, ID_BITS)
+        return F.struct(_id(a).alias("a"), _id(b).alias("b"), F.when(alone, F.concat(_id(a).cast("string"), F.lit("|"), _id(b).cast("string"))).alias("text"))
 
-def _within(k: Column, at: str) -> Column:
-    """Indexes of one side's tokens in group k: those after the link before it, up to its own. No slice(): within a lambda it copies the whole array."""
-    return F.sequence(F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("links"), k - 1)[at] + 1), F.get(F.col("links"), k)[at])
+    return cuts.select("*", F.zip_with(token("a_at"), token("b_at"), link).alias("links"))
 
 
 def groups() -> Column:
     """Of linked(): the ids (a, b) of each stretch between places where both tokenizers cut."""
-    ids = lambda k, at, of: F.transform(_within(k, at), lambda t: F.get(F.col(of), t))
-    return F.transform("links", lambda x, k: F.struct(ids(k, "i", "a_ids").alias("a"), ids(k, "j", "b_ids").alias("b")))
+    return F.transform("_cuts", lambda _, k: F.struct(_within(k, "a_at", lambda x: x).alias("a"), _within(k, "b_at", lambda x: x).alias("b")))
 
 
 def described() -> Column:
-    """Of linked(): for each link its ids a and b, and its group as text, `a1,a2|b1,b2`. Nearly all groups are two tokens that also begin together."""
-    text = lambda of, t: F.get(F.col(of), t).cast("string")
-    line = lambda k, at, of: F.array_join(F.transform(_within(k, at), lambda t: text(of, t)), ",")
-
-    def of_link(x: Column, k: Column) -> Column:
-        alone = F.get(F.col("a_starts"), x["i"]) == F.get(F.col("b_starts"), x["j"])
-        whole = F.when(alone, F.concat(text("a_ids", x["i"]), F.lit("|"), text("b_ids", x["j"]))).otherwise(F.concat(line(k, "i", "a_ids"), F.lit("|"), line(k, "j", "b_ids")))
-        return F.struct(F.get(F.col("a_ids"), x["i"]).alias("a"), F.get(F.col("b_ids"), x["j"]).alias("b"), whole.alias("text"))
-
-    return F.transform("links", of_link)
+    """Of linked(): the groups as text, `a1,a2|b1;a3|b2,b3`."""
+    line = lambda k, at: F.array_join(_within(k, at, lambda x: x.cast("string")), ",")
+    return F.array_join(F.transform("links", lambda x, k: F.coalesce(x["text"], F.concat(line(k, "a_at"), F.lit("|"), line(k, "b_at")))), ";")
 
 
 def _exploded(links: DataFrame, *others: str) -> DataFrame:
@@ -249,14 +253,12 @@ def scored(links: DataFrame, counts: DataFrame, key: str, broadcast: int = BROAD
 
 def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """df without its text, with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
-    own = {"n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "_row", "a", "b", "links", "_found"}
+    own = {"n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "_row", "a", "b", "links", "_cuts"}
     others = [c for c in df.columns if c.lower() not in {*own, *ARRAYS} and c != text]
     found = linked(tokenised(df.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`")), a_path, b_path, text))
-    names = [F.col(f"`{c}`") for c in others]
-    count = lambda c: F.size(c).cast("long")
-    rows = found.select(*names, count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), described().alias("_found"))
-    digest = F.when(F.size("_found") > 0, F.sha2(F.array_join(F.col("_found.text"), ";").cast("binary"), 256)).otherwise(F.lit(""))
-    flat = rows.select(*names, "n_a", "n_b", count("_found").alias("n_groups"), count("_found").alias("n_links"), digest.alias("groups_sha256"), F.col("_found.a").alias("a"), F.col("_found.b").alias("b"))
+    names, count = [F.col(f"`{c}`") for c in others], F.size("links").cast("long")
+    digest = F.when(F.size("links") > 0, F.sha2(described().cast("binary"), 256)).otherwise(F.lit(""))
+    flat = found.select(*names, "n_a", "n_b", count.alias("n_groups"), count.alias("n_links"), digest.alias("groups_sha256"), F.col("links.a").alias("a"), F.col("links.b").alias("b"))
     held = written(flat.withColumn("_row", F.monotonically_increasing_id()), "aligned")
     marks = scored(held.select("_row", "a", "b"), counted(held.select("a", "b")), "_row")
     whole = held.drop("a", "b").join(marks, "_row", "left").drop("_row")

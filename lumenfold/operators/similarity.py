@@ -55,43 +55,6 @@ def bounded_edges(df: DataFrame, scope: str, merge: float, most: int = 64, block
     return kept.groupBy(scope, F.least("src", "dst").alias("l"), F.greatest("src", "dst").alias("r")).agg(F.min("dist").alias("dist"))
 
 
-def _merge(rows: pd.DataFrame, edges: pd.DataFrame, complete: float) -> pd.DataFrame:
-    """Groups of one component: edges by (distance, left, right); two groups join if no photo is in both and every pair across is near enough."""
-    rows = rows.sort_values("idx", kind="stable")
-    ids = rows["idx"].tolist()
-    at = {x: i for i, x in enumerate(ids)}
-    vec = np.array(rows["vec"].tolist(), np.float64)
-    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
-    member = {i: [i] for i in range(len(ids))}
-    photo = {i: {p} for i, p in enumerate(rows["photo_id"].tolist())}
-    root = list(range(len(ids)))
-    for e in edges.sort_values(["dist", "l", "r"], kind="stable").itertuples():
-        a, b = sorted((root[at[e.l]], root[at[e.r]]))
-        if a == b or photo[a] & photo[b]:
-            continue
-        if np.clip(1 - vec[member[a]] @ vec[member[b]].T, 0, 2).max() > complete:
-            continue
-        for i in member[b]:
-            root[i] = a
-        member[a] += member.pop(b)
-        photo[a] |= photo.pop(b)
-    return pd.DataFrame({"idx": ids, "root": [ids[r] for r in root]})
-
-
-def constrained_groups(anchors: DataFrame, edges: DataFrame, component: DataFrame, complete: float) -> DataFrame:
-    """(idx, root) of each anchor: constrained greedy merging, decided component by component; root is the smallest member.
-
-    anchors: idx, vec, photo_id; edges: l, r, dist; component: node, label. A component lies within a
-    bounded neighbour graph of one gallery, whose size the plan's photo limit bounds.
-    """
-    named = anchors.join(component, anchors["idx"] == component["node"], "left").withColumn("part", F.coalesce("label", "idx")).select("part", "idx", "vec", "photo_id")
-    owned = edges.join(component, edges["l"] == component["node"]).select(F.col("label").alias("part"), "l", "r", "dist")
-    alone = named.join(owned.select("part").distinct(), "part", "left_anti").select("idx", F.col("idx").alias("root"))
-    some = named.join(owned.select("part").distinct(), "part", "left_semi")
-    merged = some.groupBy("part").cogroup(owned.groupBy("part")).applyInPandas(lambda a, b: _merge(a, b, complete), "idx long, root long")
-    return merged.unionByName(alone)
-
-
 def best_two(df: DataFrame, by: list[str], score: str, name: str) -> DataFrame:
     """df with `rank` by (score, name) and `second`, the score that comes after a row's own in its group."""
     order = W.partitionBy(*by).orderBy(score, name)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.vector import cosine_distance, norm, normalised
 from lumenfold.operators.graph import components
-from lumenfold.operators.similarity import attached, best_two, bounded_edges, centroid, constrained_groups, near_pairs, stable_pairs
+from lumenfold.operators.merging import constrained_groups
+from lumenfold.operators.similarity import attached, best_two, bounded_edges, centroid, near_pairs, stable_pairs
 from lumenfold.plans.registry import query
 from lumenfold.sources.roles import vectors
 from lumenfold.sources.storage import written
@@ -222,8 +223,7 @@ def cluster_labels(rows: DataFrame, merge: float, complete: float, attach: float
     """
     anchors = rows.where("is_anchor")
     edges = written(bounded_edges(anchors, "gallery", merge, most), "edges")
-    part = components(edges.select(F.col("l").alias("a"), F.col("r").alias("b")))
-    groups = written(constrained_groups(anchors, edges, part, complete), "groups")
+    groups = written(constrained_groups(anchors, edges, complete), "groups")
     scores = weak_scores(rows.where("not is_anchor"), anchors.join(groups, "idx"))
     joined = attached(scores, attach, margin).select("idx", "root")
     root = rows.select("idx", "gallery", "manual_group").join(groups.unionByName(joined), "idx", "left").withColumn("root", F.coalesce("root", "idx"))

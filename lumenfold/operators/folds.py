@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -51,14 +49,6 @@ def anchored_windows(df: DataFrame, key: list[str], time: str, item: str, second
     return carried(df, key, [time, item], [time, item], step, out)
 
 
-def paced(df: DataFrame, key: list[str], time: str, item: str, interval: int) -> DataFrame:
-    """df with `slot`: arrivals of a key spaced by at least the interval, none before its time. slot(i) = max over j <= i of arrival(j) + (i - j) * interval, a running maximum."""
-    order = W.partitionBy(*key).orderBy(time, item)
-    i = F.row_number().over(order) - 1
-    ahead = df.withColumn("_i", i)
-    return ahead.withColumn("slot", F.col("_i") * interval + F.max(F.col(time) - F.col("_i") * interval).over(order)).drop("_i")
-
-
 def autoscaled(df: DataFrame, key: list[str], time: str, ceiling: int = 4) -> DataFrame:
     """(key, t, processes, reason) of a worker pool over its samples (cpu, queue).
 

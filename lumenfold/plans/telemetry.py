@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions.status import finished
-from lumenfold.operators.folds import anchored_windows, autoscaled, paced
+from lumenfold.operators.folds import anchored_windows, autoscaled
+from lumenfold.operators.scans import paced, running, spread, trailing
 from lumenfold.plans.registry import query
 from lumenfold.plans.relational import now
 from lumenfold.sources.roles import items, photos, read
@@ -30,10 +30,9 @@ def rolling_rate(spark: SparkSession, sf_dir: str, seconds: int = 86_400) -> Dat
     """Images and faces a second over the trailing window of each scope; the clock starts at the first second seen in it."""
     e = events(spark, sf_dir).withColumn("k", F.from_json("props", "k bigint")["k"])
     s = e.groupBy("user_id", "sec").agg(F.count("*").alias("images"), F.sum("k").alias("faces"))
-    frame = W.partitionBy("user_id").orderBy("sec").rangeBetween(-(seconds - 1), 0)
-    spent = F.greatest(F.lit(1), F.least(F.lit(seconds), F.col("sec") - F.min("sec").over(frame) + 1))
-    rate = lambda c: F.round(F.sum(c).over(frame) / spent, 9)
-    return s.select("user_id", "sec", rate("images").alias("images_per_s"), rate("faces").alias("faces_per_s"))
+    spent = F.greatest(F.lit(1), F.least(F.lit(seconds), F.col("sec") - F.col("first") + 1))
+    rate = lambda c: F.round(F.col(c) / spent, 9)
+    return trailing(s, "user_id", "sec", seconds, "images", "faces").select("user_id", "sec", rate("images").alias("images_per_s"), rate("faces").alias("faces_per_s"))
 
 
 H = """h AS (SELECT concat('host-', user_id % 5) AS host, user_id AS pid, CASE WHEN user_id % 4 = 0 THEN 'web' ELSE 'worker' END AS component, ts, value AS cpu, (1 + user_id % 2)::DOUBLE AS capacity, CASE WHEN user_id % 3 = 0 THEN 'gpu' ELSE 'cpu' END AS processor, event_id FROM events),
@@ -106,6 +105,17 @@ def paced_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("user_id", "event_id", F.floor(F.col("slot") / 1000).cast("long").alias("slot_ms"))
 
 
+@query(f"""WITH {E}, d AS (SELECT event_id, us, row_number() OVER (ORDER BY us, event_id) - 1 AS i FROM e WHERE event_type = 'click'),
+s AS (SELECT event_id, us, i * 3000000 * 300 + max(us - i * 3000000 * 300) OVER (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS slot FROM d)
+SELECT event_id, true AS granted, (slot // 1000)::BIGINT AS slot_ms, ((slot - us) // 1000)::BIGINT AS wait_ms FROM s UNION ALL SELECT event_id, false, NULL, NULL FROM events WHERE event_type = 'error'""")
+def global_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gate for the downloads of all accounts, a slot every three seconds (300 of the log's seconds are one); requests whose clock failed are refused and take no slot."""
+    e = events(spark, sf_dir).where(F.col("event_type").isin("click", "error")).select("event_id", F.when(F.col("event_type") == "click", F.col("us")).alias("us"))
+    p = paced(e, [], "us", "event_id", 3_000_000 * 300)
+    ms = lambda c: F.floor(c / 1000).cast("long")
+    return p.select("event_id", F.col("slot").isNotNull().alias("granted"), ms(F.col("slot")).alias("slot_ms"), ms(F.col("slot") - F.col("us")).alias("wait_ms"))
+
+
 @query(f"""WITH RECURSIVE {E}, o AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM e),
 r AS (SELECT user_id, event_id, i, us AS begin, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN o.us >= r.begin + 86400000000 THEN o.us ELSE r.begin END, CASE WHEN o.us >= r.begin + 86400000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
 SELECT user_id, event_id, n <= 2 AS allowed FROM r""")
@@ -128,8 +138,8 @@ def toast_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id, round((value - before) / greatest(0.1, (us - then_us) / 1000000.0::DOUBLE), 9) AS speed FROM d WHERE before IS NOT NULL""")
 def upload_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change since the sample before, over at least a tenth of a second."""
-    order = W.partitionBy("user_id").orderBy("us", "event_id")
-    d = events(spark, sf_dir).withColumn("before", F.lag("value").over(order)).withColumn("dt", (F.col("us") - F.lag("us").over(order)) / 1_000_000.0)
+    rows = spread(events(spark, sf_dir).select("user_id", "event_id", "us", "value"), ["user_id"], ["us", "event_id"])
+    d = running(rows, ["user_id"], ["us", "event_id"], last=("before", F.struct("value", "us"))).select("*", F.col("last.value").alias("before"), ((F.col("us") - F.col("last.us")) / 1_000_000.0).alias("dt"))
     return d.where("before is not null").select("user_id", "event_id", F.round((F.col("value") - F.col("before")) / F.greatest(F.lit(0.1), "dt"), 9).alias("speed"))
 
 

@@ -69,12 +69,17 @@ def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prototypes(rows: DataFrame, k: int = PROTOTYPES) -> DataFrame:
-    """The k best anchors of each group."""
+    """The k best anchors of each group; the unit centroid of a group that has none."""
     order = W.partitionBy("gallery", "cluster_id").orderBy(F.desc_nulls_last("quality"), "idx")
-    return rows.where("is_anchor").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("gallery", "cluster_id", F.col("vec").alias("p_vec"), F.col("idx").alias("p_idx"))
+    best = rows.where("is_anchor").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("gallery", "cluster_id", F.col("vec").alias("p_vec"), F.col("idx").alias("p_idx"))
+    without = rows.groupBy("gallery", "cluster_id").agg(F.bool_or("is_anchor").alias("has")).where("not has").select("gallery", "cluster_id")
+    middle = centroid(rows.join(without, ["gallery", "cluster_id"], "left_semi"), ["gallery", "cluster_id"])
+    return best.unionByName(middle.select("gallery", "cluster_id", F.col("centroid").alias("p_vec"), F.lit(None).cast("long").alias("p_idx")))
 
 
-PROTO = "p AS (SELECT gallery, cluster_id, vec, idx FROM v WHERE is_anchor QUALIFY row_number() OVER (PARTITION BY gallery, cluster_id ORDER BY quality DESC NULLS LAST, idx) <= 5)"
+PROTO = """p AS (SELECT gallery, cluster_id, vec FROM v WHERE is_anchor QUALIFY row_number() OVER (PARTITION BY gallery, cluster_id ORDER BY quality DESC NULLS LAST, idx) <= 5
+UNION ALL SELECT gallery, cluster_id, list(x ORDER BY pos) FROM (SELECT gallery, cluster_id, pos, avg(x) AS x FROM (SELECT gallery, cluster_id, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM v
+  WHERE NOT EXISTS (SELECT 1 FROM v a WHERE a.is_anchor AND a.gallery = v.gallery AND a.cluster_id = v.cluster_id)) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 
 
 def prototype_scores(selfies: DataFrame, proto: DataFrame, match: float) -> DataFrame:
@@ -247,15 +252,25 @@ def constrained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(number, ["gallery", "root"]).select("idx", "gallery", "label")
 
 
+def lasting(named: DataFrame, old: DataFrame) -> DataFrame:
+    """(root, cluster) of each group of named (gallery, root, idx): the id of the old group (old_id, member) that shares more than half of both, else one made of gallery and root."""
+    kept = stable_pairs(named.select(F.col("root").alias("new_id"), F.col("idx").alias("member")), old).select(F.col("new_id").alias("root"), F.col("old_id").cast("string").alias("old_id"))
+    own = F.substring(F.sha2(F.concat_ws("/", "gallery", "root"), 256), 1, 12)
+    return named.select("gallery", "root").distinct().join(kept, "root", "left").select("root", F.coalesce("old_id", own).alias("cluster"))
+
+
 @query()
 def recluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups after a full run: members, anchors, unit centroid of the anchors or else of all, and a lasting id."""
+    """Groups after a full run: members, anchors, photos, unit centroid of the anchors or else of all, and an id that lasts from the groups before."""
     rows = _rows(spark, sf_dir)
     named = written(rows.drop("gallery").join(cluster_labels(rows, MERGE, COMPLETE, ATTACH, MARGIN), "idx"), "named")
-    size = named.groupBy("gallery", "root").agg(F.count("*").alias("members"), F.count_if("is_anchor").alias("anchors"), F.sort_array(F.collect_set("photo_id")).alias("photos"))
+    size = named.groupBy("gallery", "root").agg(F.count("*").alias("members"), F.count_if("is_anchor").alias("anchors"))
+    photos = named.groupBy("gallery", "root", "photo_id").count().groupBy("gallery", "root").agg(F.count("*").alias("n_photos"))
     shown = named.join(size.select("gallery", "root", "anchors"), ["gallery", "root"]).where("is_anchor or anchors = 0")
     middle = centroid(shown, ["gallery", "root"])
-    return size.join(middle, ["gallery", "root"]).select("gallery", F.substring(F.sha2(F.concat_ws("/", "gallery", "root"), 256), 1, 12).alias("cluster"), "members", "anchors", F.size("photos").alias("n_photos"), F.round(F.col("centroid")[0], 9).alias("first"))
+    old = grouped(spark, sf_dir).select((F.col("gallery") * 10 + F.col("cluster_id")).alias("old_id"), F.col("idx").alias("member"))
+    whole = size.join(photos, ["gallery", "root"]).join(middle, ["gallery", "root"]).join(lasting(named, old), "root")
+    return whole.select("gallery", "cluster", "members", "anchors", "n_photos", F.round(F.col("centroid")[0], 9).alias("first"))
 
 
 @query(f"""WITH {V}, m AS (SELECT idx, gallery, CASE WHEN cluster_id IN (2, 5) THEN 1 ELSE cluster_id END AS cluster_id, CASE WHEN cluster_id IN (1, 2, 5) THEN 'merge-1' END AS manual_group, vec, is_anchor FROM v),

@@ -14,7 +14,7 @@ from lumenfold.operators.folds import anchored_windows
 from lumenfold.operators.graph import components
 from lumenfold.operators.scans import paced
 from lumenfold.operators.similarity import bounded_edges, stable_pairs
-from lumenfold.plans.similarity import assigned, chosen, cluster_labels, decided
+from lumenfold.plans.similarity import assigned, chosen, cluster_labels, decided, lasting, prototype_scores, prototypes
 
 V = lambda d: [1 - d, math.sqrt(1 - (1 - d) ** 2)]
 DEG = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
@@ -183,3 +183,20 @@ def test_vectors(spark):
     assert df.where("v is not null").select(normalised(F.col("v")).alias("u")).first().u == [0.6, 0.8]
     with pytest.raises(Exception, match="direction"):
         spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(normalised(F.col("v"))).collect()
+
+
+def test_groups_without_anchors_are_matched_by_their_centroid(spark):
+    faces = [(1, [1.0, 0.0], 0.9, True, 0, 1), (2, [0.0, 1.0], 0.2, False, 0, 2), (3, [0.0, 3.0], 0.1, False, 0, 2), (4, [-1.0, 0.0], 0.1, False, 0, 3)]
+    rows = spark.createDataFrame(faces, "idx long, vec array<double>, quality double, is_anchor boolean, gallery int, cluster_id long")
+    proto = {r.cluster_id: (r.p_idx, r.p_vec) for r in prototypes(rows).collect()}
+    assert proto == {1: (1, [1.0, 0.0]), 2: (None, [0.0, 1.0]), 3: (None, [-1.0, 0.0])}
+    selfie = spark.createDataFrame([(9, [0.1, 1.0], 0)], "idx long, vec array<double>, gallery int")
+    found = decided(prototype_scores(selfie, prototypes(rows), 0.5), 0.5, 0.38, 0.08).first()
+    assert (found.idx, found.cluster_id) == (9, 2) and found.distance < 0.01
+
+
+def test_lasting_ids(spark):
+    named = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (0, 1, 3), (0, 7, 7), (0, 8, 8), (0, 8, 9)], "gallery int, root long, idx long")
+    old = spark.createDataFrame([("A", 1), ("A", 2), ("B", 7), ("B", 20), ("C", 8), ("C", 9), ("C", 21)], "old_id string, member long")
+    got = {r.root: r.cluster for r in lasting(named, old).collect()}
+    assert got[1] == "A" and got[8] == "C" and len(got[7]) == 12

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.plans.registry import query
-from lumenfold.streaming import events, lifecycle
+from lumenfold.streaming import events, lifecycle, rates
 
 
 @query("SELECT date_trunc('hour', ts) AS begin, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -79,3 +79,11 @@ SELECT batch_id, CASE WHEN due THEN CASE WHEN total = 0 THEN 'cancelled' WHEN co
 def stream_batch_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each batch after all its commands, leases and idle hours: create, guarded append, seal, claim, confirm, start, retry, terminal, finalize."""
     return lifecycle.states(events.commands(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT user_id AS scope, epoch_us(ts) // 3600000000 AS second, floor(value)::BIGINT % 4 AS faces FROM events), n AS (SELECT scope, max(second) AS now FROM c GROUP BY 1),
+w AS (SELECT scope, now, count(*) AS images, sum(faces) AS faces, greatest(1, least(30, now - min(second) + 1)) AS spent FROM c JOIN n USING (scope) WHERE second > now - 30 AND second <= now GROUP BY 1, 2)
+SELECT scope, now, images::BIGINT AS images, faces::BIGINT AS faces, round(images::DOUBLE / spent, 3) AS images_per_s, round(faces::DOUBLE / spent, 3) AS faces_per_s FROM w""")
+def stream_rate_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of each user over the last 30 seconds, from a ring of stamped slots."""
+    return rates.rates(events.counts(spark, sf_dir))

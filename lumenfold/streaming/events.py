@@ -124,3 +124,9 @@ def commands_of(e: DataFrame) -> DataFrame:
         F.col("user_id").alias("batch_id"), (number % 6).alias("item_id"), F.timestamp_millis(ms).alias("at"), ms.alias("ms"), number.alias("seq"), kind.alias("kind"), (number % 4).alias("token"),
         F.when(number % 2 == 1, number % 8).alias("expected"), (F.floor("value").cast("long") % 4).alias("faces"), of(3, "cpu", "gpu", "tpu").alias("processor"),
     )
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as images and faces of a second; an hour of the log is one."""
+    e = source(spark, sf_dir)
+    return e.select(F.col("user_id").alias("scope"), F.floor(F.unix_seconds("at") / 3600).cast("long").alias("second"), F.lit(1).cast("long").alias("images"), (F.floor("value").cast("long") % 4).alias("faces"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.status import finished
+from lumenfold.operators import snapshot
 from lumenfold.operators.folds import anchored_windows, autoscaled
 from lumenfold.operators.scans import paced, running, spread, trailing
 from lumenfold.plans.registry import query
@@ -88,6 +89,47 @@ def processing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("batch_id", "total", "completed", left.alias("remaining"), F.round(progress, 6).alias("progress"), eta.cast("long").alias("eta_s"))
 
 
+SNAPSHOT = """i AS (SELECT *, batch_id % 10 AS tenant, floor(processing_ms)::BIGINT % 3 AS found, ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 HOUR AS late FROM items),
+b AS (SELECT batch_id, any_value(tenant) AS tenant, count(*) AS total, count(*) FILTER (status IN ('succeeded', 'failed', 'skipped')) AS completed, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+  count(*) FILTER (status = 'processing') AS active, sum(CASE WHEN status = 'succeeded' THEN found ELSE 0 END) AS faces, CASE WHEN batch_id % 4 <> 1 THEN avg(processing_ms) FILTER (status = 'succeeded') END AS avg_ms, round((count(*) FILTER (late AND status = 'succeeded'))::DOUBLE / 30, 3) AS rate FROM i GROUP BY batch_id),
+d AS (SELECT *, ['receiving', 'running', 'completed', 'receiving', 'running', 'running', CASE WHEN tenant < 3 THEN 'finalizing' ELSE 'queued' END][batch_id % 7 + 1] AS status, CASE WHEN batch_id % 3 > 0 THEN batch_id % 90 END AS expected FROM b),
+e AS (SELECT *, CASE WHEN status = 'receiving' AND expected IS NOT NULL THEN greatest(total, expected) ELSE total END AS shown FROM d WHERE status <> 'completed'), f AS (SELECT *, greatest(0, shown - completed) AS remaining FROM e)"""
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Batches with their items' measures, and each tenant's rates over the last 30 hours, an hour standing for a second."""
+    i = items(spark, sf_dir).withColumn("tenant", F.col("batch_id") % 10).withColumn("found", F.floor("processing_ms").cast("long") % 3).withColumn("late", F.col("ts") > now() - F.expr("INTERVAL 30 HOURS"))
+    ok, late = F.col("status") == "succeeded", F.col("late")
+    rate = lambda c: F.round(c / 30.0, 3)
+    n = lambda *kinds: F.count_if(F.col("status").isin(*kinds))
+    b = i.groupBy("batch_id", "tenant").agg(
+        F.count("*").alias("total"), n("succeeded", "failed", "skipped").alias("completed"), n("succeeded").alias("succeeded"), n("failed").alias("failed"), n("skipped").alias("skipped"), n("processing").alias("active"),
+        F.sum(F.when(ok, F.col("found")).otherwise(0)).alias("faces"), F.avg(F.when(ok, F.col("processing_ms"))).alias("avg_ms"), rate(F.count_if(ok & late)).alias("rate"),
+    )
+    kinds = [F.lit(x) for x in ("receiving", "running", "completed", "receiving", "running", "running")]
+    status = F.element_at(F.array(*kinds, F.when(F.col("tenant") < 3, "finalizing").otherwise("queued")), (F.col("batch_id") % 7 + 1).cast("int"))
+    whole = b.withColumn("status", status).withColumn("expected", F.when(F.col("batch_id") % 3 > 0, F.col("batch_id") % 90)).withColumn("avg_ms", F.when(F.col("batch_id") % 4 != 1, F.col("avg_ms")))
+    return whole, i.where(ok & late).groupBy("tenant").agg(rate(F.count("*")).alias("images_per_s"), rate(F.sum("found")).alias("faces_per_s"))
+
+
+@query(f"""WITH {SNAPSHOT} SELECT tenant, batch_id, status, shown::BIGINT AS shown, remaining::BIGINT AS remaining, CASE WHEN shown = 0 THEN 0 ELSE round(least(100, completed * 100.0::DOUBLE / shown), 1) END AS progress,
+  CASE WHEN status = 'finalizing' THEN NULL WHEN remaining = 0 THEN 0 WHEN rate > 0 THEN greatest(1, ceil(remaining / rate)) WHEN avg_ms > 0 THEN greatest(1, ceil(remaining * avg_ms / 1000)) END::BIGINT AS eta_s FROM f""", "items")
+def snapshot_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running batches as a snapshot shows them."""
+    return snapshot.batches(snapshot_rows(spark, sf_dir)[0]).select("tenant", "batch_id", "status", "shown", "remaining", "progress", "eta_s")
+
+
+@query(f"""WITH {SNAPSHOT}, g AS (SELECT tenant, count(*)::BIGINT AS running_batches, sum(shown)::BIGINT AS total, sum(completed)::BIGINT AS completed, sum(succeeded)::BIGINT AS succeeded, sum(failed)::BIGINT AS failed, sum(skipped)::BIGINT AS skipped, sum(active)::BIGINT AS active, sum(faces)::BIGINT AS faces,
+  bool_or(status = 'finalizing') AS finalizing, sum(CASE WHEN remaining > 0 AND avg_ms > 0 THEN remaining * avg_ms / 1000 ELSE 0 END) AS seconds, bool_or(remaining > 0 AND coalesce(avg_ms, 0) <= 0) AS unknown FROM f GROUP BY 1),
+r AS (SELECT tenant, round(count(*)::DOUBLE / 30, 3) AS images_per_s, round(sum(found)::DOUBLE / 30, 3) AS faces_per_s FROM i WHERE late AND status = 'succeeded' GROUP BY 1),
+h AS (SELECT * EXCLUDE (images_per_s, faces_per_s), coalesce(images_per_s, 0) AS images_per_s, coalesce(faces_per_s, 0) AS faces_per_s, greatest(0, total - completed)::BIGINT AS remaining FROM g LEFT JOIN r USING (tenant))
+SELECT * EXCLUDE (finalizing, seconds, unknown), CASE WHEN finalizing THEN NULL WHEN remaining = 0 THEN 0 WHEN images_per_s > 0 THEN greatest(1, ceil(remaining / images_per_s)) WHEN NOT unknown AND seconds > 0 THEN greatest(1, ceil(seconds)) END::BIGINT AS eta_s FROM h""", "items")
+def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve measures of each tenant's running batches."""
+    rows, rates = snapshot_rows(spark, sf_dir)
+    return snapshot.summary(snapshot.batches(rows), "tenant", rates)
+
+
 @query("""WITH b AS (SELECT batch_id, count(*) AS n, count(*) FILTER (status IN ('succeeded', 'failed', 'skipped')) AS done, count(*) FILTER (status = 'failed') AS failed, max(ts) AS updated, bool_or(status = 'processing') AS running FROM items GROUP BY 1)
 SELECT batch_id % 10 AS gallery, count(*)::BIGINT AS batches, sum(n)::BIGINT AS total, sum(done)::BIGINT AS completed, sum(greatest(0, n - done))::BIGINT AS remaining, sum(failed)::BIGINT AS failed, bool_or(running) AS running, max(updated) AS updated FROM b GROUP BY 1""", "items")
 def client_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

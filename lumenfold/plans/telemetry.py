@@ -11,7 +11,9 @@ from lumenfold.operators.folds import anchored_windows, autoscaled
 from lumenfold.operators.scans import paced, running, spread, trailing
 from lumenfold.plans.registry import query
 from lumenfold.plans.relational import now
+from lumenfold.sources import changes
 from lumenfold.sources.roles import items, photos, read
+from lumenfold.sources.storage import fresh_path
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,3 +246,21 @@ def dispatch_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue of each photo: those of a remote drive without an original are downloaded first."""
     remote = F.col("filename").startswith("1-") & (F.col("status") == "queued")
     return photos(spark, sf_dir).where("status <> 'done'").select("photo_id", F.when(remote, "drive-downloads").otherwise("face-processing").alias("queue"), (F.col("status") == "queued").alias("runnable"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT item_id, CASE WHEN item_id >= 10 THEN item_id // 10 END AS parent_id, status, item_id % 2 AS version FROM items),
+s AS (SELECT item_id, parent_id, CASE WHEN status = 'queued' AND item_id % 3 = 0 AND version = 0 THEN 'processing' ELSE status END AS status, CASE WHEN status = 'queued' AND item_id % 3 = 0 AND version = 0 THEN 1 ELSE version END AS version FROM t),
+gone AS (SELECT item_id FROM s WHERE status = 'failed' AND item_id % 7 = 0 UNION SELECT s.item_id FROM s JOIN gone ON s.parent_id = gone.item_id)
+SELECT * FROM (SELECT item_id, parent_id, status, version FROM s UNION ALL SELECT -1 - item_id, NULL, 'queued', 0 FROM t WHERE item_id % 100 = 0) WHERE item_id NOT IN (SELECT item_id FROM gone)""", "items")
+def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of items after claims by compare-and-set, new items, and the deletion of failed ones with all below them; each change is applied twice and counts once."""
+    path, tree = fresh_path(spark, "items"), F.when(F.col("item_id") >= 10, F.floor(F.col("item_id") / 10).cast("long"))
+    rows = items(spark, sf_dir).select("item_id", tree.alias("parent_id"), "status", (F.col("item_id") % 2).alias("version"))
+    changes.create(rows, path, "item_id")
+    claims = rows.where("status = 'queued' and item_id % 3 = 0").select("item_id", F.lit(0).cast("long").alias("version"), F.lit("processing").alias("status"))
+    fresh = rows.where("item_id % 100 = 0").select((-1 - F.col("item_id")).alias("item_id"), F.lit(None).cast("long").alias("parent_id"), F.lit("queued").alias("status"), F.lit(0).cast("long").alias("version"))
+    for _ in range(2):
+        changes.compare_and_set(spark, path, "item_id", "version", claims)
+        changes.insert(spark, path, "item_id", fresh)
+        changes.delete_cascade(spark, path, "item_id", "parent_id", rows.where("status = 'failed' and item_id % 7 = 0").select("item_id"))
+    return changes.read(spark, path)

@@ -36,19 +36,6 @@ def carried(df: DataFrame, key: list[str], order: list[str], values: list[str],
     return rows.mapInArrow(run, schema)
 
 
-def anchored_windows(df: DataFrame, key: list[str], time: str, item: str, seconds: int, limit: int) -> DataFrame:
-    """(key, item, allowed) with windows of so many seconds that start at a hit: the first hit after a window opens the next; hits beyond the limit are refused and do not extend it. time: epoch microseconds; a hit without one comes first and opens no window."""
-
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        (end, n), (t, i) = state or (None, 0), row
-        if t is not None and (end is None or t >= end):
-            end, n = t + seconds * 1_000_000, 0
-        return (end, n + 1), (i, n < limit)
-
-    out = T.StructType([df.schema[item], T.StructField("allowed", T.BooleanType())])
-    return carried(df, key, [time, item], [time, item], step, out)
-
-
 def autoscaled(df: DataFrame, key: list[str], time: str, ceiling: int = 4) -> DataFrame:
     """(key, t, processes, reason) of a worker pool over its samples (cpu, queue).
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenfold.functions.text import digest, extension, nonempty
-from lumenfold.operators.folds import carried
+from lumenfold.operators.jumps import pages
 from lumenfold.plans.registry import query
 from lumenfold.sources.roles import galleries, photos, read, tenants
 
@@ -115,15 +114,8 @@ UNION ALL SELECT f.gallery_id, f.photo_id, f.i, CASE WHEN p.held >= 2 OR p.bytes
   CASE WHEN p.held >= 2 OR p.bytes + f.size_bytes > 300000 THEN f.size_bytes ELSE p.bytes + f.size_bytes END FROM p JOIN f ON f.gallery_id = p.gallery_id AND f.i = p.i + 1)
 SELECT gallery_id, photo_id, page::INT AS page FROM p""", "photos")
 def upload_pages(spark: SparkSession, sf_dir: str, files: int = 2, most: int = 300_000) -> DataFrame:
-    """Files of a gallery packed in order into pages of so many files and bytes: a fold, as each page starts where the last one ended."""
-
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        (page, held, size), (photo, more) = state or (-1, files, 0), (row[0], row[1] or 0)
-        if held >= files or size + more > most:
-            page, held, size = page + 1, 0, 0
-        return (page, held + 1, size + more), (photo, page)
-
-    return carried(photos(spark, sf_dir), ["gallery_id"], ["photo_id", "size_bytes"], ["photo_id", "size_bytes"], step, T.StructType.fromDDL("photo_id long, page int"))
+    """Files of a gallery packed in order into pages of so many files and bytes: where a page ends depends on its first file alone, so the pages are a chain of jumps."""
+    return pages(photos(spark, sf_dir), ["gallery_id"], "photo_id", "size_bytes", files, most)
 
 
 @query("""SELECT photo_id, concat('tenants/', tenant_id, '/events/', gallery_id, '/photos/', photo_id, '/original.jpg') AS original_key, concat('tenants/', tenant_id, '/events/', gallery_id, '/photos/', photo_id, '/thumbnail.jpg') AS thumbnail_key FROM photos JOIN galleries USING (gallery_id)""", "photos galleries")

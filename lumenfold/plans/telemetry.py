@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.status import finished
 from lumenfold.operators import snapshot
-from lumenfold.operators.folds import anchored_windows, autoscaled
+from lumenfold.operators.folds import autoscaled
+from lumenfold.operators.jumps import anchored_windows
 from lumenfold.operators.scans import paced, running, spread, trailing
 from lumenfold.plans.registry import query
 from lumenfold.plans.relational import now

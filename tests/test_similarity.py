@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.codec import from_bytes, to_bytes
 from lumenfold.functions.geometry import iou, suppressed, tiles
 from lumenfold.functions.vector import normalised
-from lumenfold.operators.folds import anchored_windows
+from lumenfold.operators.jumps import anchored_windows
 from lumenfold.operators.graph import components
 from lumenfold.operators.scans import paced
 from lumenfold.operators.similarity import bounded_edges, stable_pairs

@@ -6,11 +6,12 @@ out through Spark's text writer, whose line separator is the blank line that end
 archives land wherever Spark can write.
 
 Reading: tasks look for the magic at every byte of their file and emit each candidate with the offset
-of its successor, which the candidate's own header implies. A payload may hold the magic too, so a candidate counts
+of its successor, which the candidate's own header implies, in one walk over the file. A payload may hold the magic too, so a candidate counts
 only if the chain that starts at the file's first byte reaches it: pointer jumping doubles
-all hops in each round, after which what is reached doubles too. Revisits then get the length and digest of the payload that they name.
+all hops in each round, after which what is reached doubles too. Only then are headers read and bodies digested, of the reached records alone, so
+a payload full of magic costs no more than its length. Revisits at last get the length and digest of the payload that they name.
 
-Files have at most RECORDS records, so a file fits a task and the chains have a bounded number of hops.
+Pages are written by classes of size (CLASSES), each with as many records to a file as make 16 MB of its largest pages; a larger page has a file of its own. So a file fits a task, and chains have a bounded number of hops.
 
 Defined cases: a null or empty payload is a record with an empty body; rows with a null id are
 records without an id; rows that repeat the largest id of a payload are all responses; a null address is left
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 from .shared import dropped, fresh_path, small_batches, written
 
 MAGIC = b"WARC/1.1\r\n"
-RECORDS = 1_000
 LEAST = 1_000
-FOUND = "file string, at long, next long, kind string, record_id string, refers string, body_bytes long, body_digest string, digest string"
-FIELD = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
+#: (bytes of a payload at most, records of a file at most); the last class has no bound.
+CLASSES = ((1 << 14, 1_000), (1 << 18, 64), (1 << 22, 4), (None, 1))
+PLACES = "file string, at long, next long"
+RECORD = "kind string, record_id string, refers string, body_bytes long, body_digest string, digest string"
+FIELD = re.compile(rb"(?<=\n)([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
 
 
 def decided(df: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST) -> DataFrame:
@@ -50,7 +53,7 @@ def decided(df: DataFrame, key: str = "page_id", payload: str = "html", least: i
 
 
 def write(df: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url", least: int = LEAST) -> None:
-    """Archives of df below path, gzipped as a whole."""
+    """Archives of df in a folder below path for each class of sizes that occurs, gzipped as a whole."""
     rows = decided(df, key, payload, least)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -66,39 +69,87 @@ def write(df: DataFrame, path: str, key: str = "page_id", payload: str = "html",
         F.lit("\r\n"),
     )
     body = F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col(payload), F.lit("")))
-    rows.select(F.concat(header, body).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+    size = F.octet_length(F.coalesce(F.col(payload), F.lit("")))
+    inside = [F.lit(True) if most is None else size <= most for most, _ in CLASSES]
+    place = F.coalesce(*(F.when(ok, F.lit(i)) for i, ok in enumerate(inside)))
+    there = {r[0] for r in df.select(place.alias("c")).distinct().collect()} or {0}  # at most as many as there are classes
+    for i in sorted(there):
+        out = rows.where(place == i).select(F.concat(header, body).alias("value")).write
+        out.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", CLASSES[i][1]).option("compression", "gzip").text(f"{path}/class{i}")
 
 
-def candidates(name: str, data: bytes) -> Iterator[tuple]:
-    """Every place of a file that reads like the start of a record."""
-    at = data.find(MAGIC)
+def fields_of(data: bytes, at: int, stop: int) -> Iterator[re.Match]:
+    """The header fields of the record at a place, whose header ends at the blank line at stop."""
+    return FIELD.finditer(data, at + len(MAGIC), stop + 2)
+
+
+def candidates(data: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, offset of its successor) of every place of a file that reads like the start of a record.
+
+    Places before the same blank line share it and the last length named ahead of it, so each byte of a header is read once.
+    """
+    at, stop, named, size = data.find(MAGIC), -1, -1, 0
     while at >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop >= 0:
-            fields = {k.lower(): v for k, v in FIELD.findall(data, at + len(MAGIC), stop + 2)}
-            size = fields.get(b"content-length", b"")
-            if size.isdigit():
-                begin = stop + 4
-                body = data[begin : begin + int(size)]
-                text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None  # noqa: B023, E731
-                yield name, at, begin + int(size) + 4, text(b"warc-type"), text(b"warc-record-id"), text(b"warc-refers-to"), len(body), hashlib.sha1(body).hexdigest(), text(b"warc-payload-digest")
+        if stop < at:
+            stop, named = data.find(b"\r\n\r\n", at), -1
+            if stop < 0:
+                return
+            for m in fields_of(data, at, stop):
+                if m[1].lower() == b"content-length":
+                    named, size = (m.start(), int(m[2])) if m[2].isdigit() and len(m[2]) < 19 else (-1, 0)
+        if named >= at:
+            yield at, stop + 8 + size
         at = data.find(MAGIC, at + 1)
 
 
+def record(data: bytes, at: int) -> tuple:
+    """kind, id, id referred to, length and digest of the body, and digest named, of the record at a candidate's place."""
+    stop = data.find(b"\r\n\r\n", at)
+    fields = {m[1].lower(): m[2] for m in fields_of(data, at, stop)}
+    body = memoryview(data)[stop + 4 : stop + 4 + int(fields[b"content-length"])]
+    text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None
+    return text(b"warc-type"), text(b"warc-record-id"), text(b"warc-refers-to"), len(body), hashlib.sha1(body).hexdigest(), text(b"warc-payload-digest")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all archives below path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").transform(small_batches)
+
+
+def _plain(content: pa.BinaryScalar) -> bytes:
+    data = content.as_py()
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if kind == "string" else pa.int64()) for c, (_, kind) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
 def _found(spark: SparkSession, path: str) -> DataFrame:
     """Candidates of all archives below path."""
-    names = [x.split()[0] for x in FOUND.split(", ")]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column("content")[i].as_py()
-                rows = list(candidates(batch.column("path")[i].as_py(), gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-                if rows:
-                    kinds = [pa.string() if "string" in x else pa.int64() for x in FOUND.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                name = batch.column("path")[i].as_py()
+                yield _batch([(name, *place) for place in candidates(_plain(batch.column("content")[i]))], PLACES)
+
+    return _files(spark, path).mapInArrow(look, PLACES)
+
+
+def _records(files: DataFrame, chain: DataFrame) -> DataFrame:
+    """The reached records of each archive, which meets the offsets of its own."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = _plain(batch.column("content")[i])
+                yield _batch([record(data, at) for at in batch.column("places")[i].as_py()], RECORD)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").transform(small_batches).mapInArrow(look, FOUND)
+    places = chain.groupBy("file").agg(F.array_sort(F.collect_list("at")).alias("places"))  # a file has a bounded number of records
+    return files.join(places, F.col("path") == F.col("file")).select("content", "places").mapInArrow(take, RECORD)
 
 
 def reached(found: DataFrame) -> DataFrame:
@@ -122,9 +173,8 @@ def reached(found: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives; length and digest are those of the full payload.
     A revisit of a page that these archives do not hold has a null length."""
-    found = written(_found(spark, path), "candidates")
-    chain = reached(found)
-    rows = found.join(chain, ["file", "at"])
+    chain = reached(written(_found(spark, path), "candidates"))
+    rows = written(_records(_files(spark, path), chain), "records")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as long)")
     rows = rows.select(number("record_id").alias("page_id"), number("refers").alias("refers_to"), F.col("kind").alias("record_type"), "body_bytes", "body_digest", F.regexp_replace("digest", "^sha1:", "").alias("digest"))
     own = rows.where("record_type <> 'revisit'").select("page_id", F.col("body_bytes").alias("payload_bytes"), F.col("body_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))

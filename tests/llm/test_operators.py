@@ -549,7 +549,27 @@ def test_warc_chain_rejects_magic(spark, tmp_path):
     data = record(1, b"a") + record(2, inner) + record(3, b"WARC/1.1\r\nbroken") + record(4, b"")
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(data))
     assert sorted(r.page_id for r in warc.read(spark, f"file://{tmp_path}").collect()) == [1, 2, 3, 4]
-    assert len(list(warc.candidates("x", data))) == 7
+    assert len(list(warc.candidates(data))) == 7
+
+
+def test_warc_hostile_payloads(spark, monkeypatch):
+    """Payloads full of magic, with and without blank lines, that claim long bodies, cost one walk; every class of sizes is written; null ids with large payloads."""
+    claim = "WARC/1.1\r\nContent-Length: 900000\r\n"
+    for data in ((warc.MAGIC * 100_000), (claim * 25_000).encode(), ((claim + "\r\n") * 25_000).encode(), b"WARC/1.1\r\n" + b"a" * 1_000_000):
+        began = time.perf_counter()
+        found = list(warc.candidates(data + b"\r\n\r\n"))
+        assert time.perf_counter() - began < 1 and len(found) in (0, 25_000)
+    monkeypatch.setattr(warc, "CLASSES", ((1_000, 3), (5_000, 2), (None, 1)))
+    texts = [claim * 40, (claim + "\r\n") * 40, "x" * 999, "y" * 1_000, "z" * 7_000, warc.MAGIC.decode() * 700, ""]
+    rows = [(i, t) for i, t in enumerate(texts * 2)] + [(None, "q" * 2_000), (None, "q" * 2_000), (50, "r" * 2_000), (None, "r" * 2_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=repr)
+    first = {}
+    for i, h in rows:
+        if i is not None and len(h) >= 1_000:
+            first[h] = max(first.get(h, i), i)
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if h in first and first[h] != i else "response", first[h] if h in first and first[h] != i else None) for i, h in rows]
+    assert got == sorted(want, key=repr)
 
 
 # 10 -----------------------------------------------------------------------------------------------

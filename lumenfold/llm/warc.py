@@ -8,8 +8,8 @@ archives land wherever Spark can write.
 Reading: tasks look for the magic at every byte of their file and emit each candidate with the offset
 of its successor, which the candidate's own header implies, in one walk over the file. A payload may hold the magic too, so a candidate counts
 only if the chain that starts at the file's first byte reaches it: pointer jumping doubles
-all hops in each round, after which what is reached doubles too. Only then are headers read and bodies digested, of the reached records alone, so
-a payload full of magic costs no more than its length. Revisits at last get the length and digest of the payload that they name.
+all hops in each round, after which what is reached doubles too. Bodies are digested along the walk until it has digested AHEAD times the file's length, which
+only payloads full of magic that claims long bodies exceed; of the candidates after that, the reached ones alone are digested by reading their files again. Revisits at last get the length and digest of the payload that they name.
 
 Pages are written by classes of size (CLASSES), each with as many records to a file as make 16 MB of its largest pages; a larger page has a file of its own. So a file fits a task, and chains have a bounded number of hops.
 
@@ -35,6 +35,7 @@ MAGIC = b"WARC/1.1\r\n"
 LEAST = 1_000
 #: (bytes of a payload at most, records of a file at most); the last class has no bound.
 CLASSES = ((1 << 14, 1_000), (1 << 18, 64), (1 << 22, 4), (None, 1))
+AHEAD = 4
 PLACES = "file string, at long, next long"
 RECORD = "kind string, record_id string, refers string, body_bytes long, body_digest string, digest string"
 FIELD = re.compile(rb"(?<=\n)([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
@@ -128,19 +129,25 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _found(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates of all archives below path."""
+    """Candidates of all archives below path, as records where the walk could afford it (otherwise body_digest is null)."""
+    later = (None,) * len(RECORD.split(", "))
+
+    def walk(name: str, data: bytes) -> Iterator[tuple]:
+        left = AHEAD * len(data)
+        for at, after in candidates(data):
+            left -= min(after, len(data)) - at
+            yield (name, at, after, *(record(data, at) if left >= 0 else later))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                name = batch.column("path")[i].as_py()
-                yield _batch([(name, *place) for place in candidates(_plain(batch.column("content")[i]))], PLACES)
+                yield _batch(list(walk(batch.column("path")[i].as_py(), _plain(batch.column("content")[i]))), f"{PLACES}, {RECORD}")
 
-    return _files(spark, path).mapInArrow(look, PLACES)
+    return _files(spark, path).mapInArrow(look, f"{PLACES}, {RECORD}")
 
 
 def _records(files: DataFrame, chain: DataFrame) -> DataFrame:
-    """The reached records of each archive, which meets the offsets of its own."""
+    """Records of the reached places of each archive, which meets its own places."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,8 +180,12 @@ def reached(found: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives; length and digest are those of the full payload.
     A revisit of a page that these archives do not hold has a null length."""
-    chain = reached(written(_found(spark, path), "candidates"))
-    rows = written(_records(_files(spark, path), chain), "records")
+    found = written(_found(spark, path), "candidates")
+    chain = found.join(reached(found), ["file", "at"])
+    rows, late = chain.where("body_digest is not null").drop("file", "at", "next"), chain.where("body_digest is null").select("file", "at")
+    if found.where("body_digest is null").limit(1).count():
+        rows = rows.unionByName(_records(_files(spark, path), late))
+    rows = written(rows, "records")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as long)")
     rows = rows.select(number("record_id").alias("page_id"), number("refers").alias("refers_to"), F.col("kind").alias("record_type"), "body_bytes", "body_digest", F.regexp_replace("digest", "^sha1:", "").alias("digest"))
     own = rows.where("record_type <> 'revisit'").select("page_id", F.col("body_bytes").alias("payload_bytes"), F.col("body_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))

@@ -552,7 +552,8 @@ def test_warc_chain_rejects_magic(spark, tmp_path):
     assert len(list(warc.candidates(data))) == 7
 
 
-def test_warc_hostile_payloads(spark, monkeypatch):
+@pytest.mark.parametrize("ahead", [4, 0])
+def test_warc_hostile_payloads(spark, monkeypatch, ahead):
     """Payloads full of magic, with and without blank lines, that claim long bodies, cost one walk; every class of sizes is written; null ids with large payloads."""
     claim = "WARC/1.1\r\nContent-Length: 900000\r\n"
     for data in ((warc.MAGIC * 100_000), (claim * 25_000).encode(), ((claim + "\r\n") * 25_000).encode(), b"WARC/1.1\r\n" + b"a" * 1_000_000):
@@ -560,6 +561,7 @@ def test_warc_hostile_payloads(spark, monkeypatch):
         found = list(warc.candidates(data + b"\r\n\r\n"))
         assert time.perf_counter() - began < 1 and len(found) in (0, 25_000)
     monkeypatch.setattr(warc, "CLASSES", ((1_000, 3), (5_000, 2), (None, 1)))
+    monkeypatch.setattr(warc, "AHEAD", ahead)
     texts = [claim * 40, (claim + "\r\n") * 40, "x" * 999, "y" * 1_000, "z" * 7_000, warc.MAGIC.decode() * 700, ""]
     rows = [(i, t) for i, t in enumerate(texts * 2)] + [(None, "q" * 2_000), (None, "q" * 2_000), (50, "r" * 2_000), (None, "r" * 2_000)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))

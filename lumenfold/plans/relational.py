@@ -45,19 +45,22 @@ def gallery_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN (SELECT tenant_id, count(*) AS n FROM galleries GROUP BY 1) g USING (tenant_id)
 LEFT JOIN (SELECT tenant_id, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM photos JOIN galleries USING (gallery_id) GROUP BY 1) p USING (tenant_id)""", "tenants galleries photos")
 def tenant_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenants with their galleries, photos and storage: pre-aggregates instead of a lookup per tenant."""
+    """Tenants with their galleries, photos and storage: photos are summed by gallery before they meet the galleries, so one row a gallery is joined."""
     g = galleries(spark, sf_dir)
     per_gallery = g.groupBy("tenant_id").agg(F.count("*").alias("galleries"))
-    per_photo = photos(spark, sf_dir).join(g, "gallery_id").groupBy("tenant_id").agg(F.count("*").alias("photos"), F.sum("size_bytes").alias("bytes"))
+    held = photos(spark, sf_dir).groupBy("gallery_id").agg(F.count("*").alias("photos"), F.sum("size_bytes").alias("bytes"))
+    per_photo = held.join(g, "gallery_id").groupBy("tenant_id").agg(F.sum("photos").alias("photos"), F.sum("bytes").alias("bytes"))
     rows = tenants(spark, sf_dir).join(per_gallery, "tenant_id", "left").join(per_photo, "tenant_id", "left")
     return rows.select("tenant_id", "name", "plan", F.coalesce("galleries", F.lit(0)).alias("galleries"), F.coalesce("photos", F.lit(0)).alias("photos"), F.round(F.coalesce("bytes", F.lit(0)) / 1073741824.0, 6).alias("storage_gb"))
 
 
 @query("""SELECT tenant_id, count(DISTINCT gallery_id)::BIGINT AS galleries, count(photo_id)::BIGINT AS photos, (count(*) FILTER (status = 'done'))::BIGINT AS done FROM galleries LEFT JOIN photos USING (gallery_id) GROUP BY 1""", "galleries photos")
 def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of a tenant's dashboard."""
-    rows = galleries(spark, sf_dir).join(photos(spark, sf_dir), "gallery_id", "left")
-    return rows.groupBy("tenant_id").agg(F.count_distinct("gallery_id").alias("galleries"), F.count("photo_id").alias("photos"), F.count_if(F.col("status") == "done").alias("done"))
+    """Totals of a tenant's dashboard, from one row of counts a gallery."""
+    held = photos(spark, sf_dir).groupBy("gallery_id").agg(F.count("photo_id").alias("photos"), F.count_if(F.col("status") == "done").alias("done"))
+    rows = galleries(spark, sf_dir).join(held, "gallery_id", "left")
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
+    return rows.groupBy("tenant_id").agg(F.count_distinct("gallery_id").alias("galleries"), total("photos"), total("done"))
 
 
 @query("SELECT cluster_id, count(DISTINCT photo_id)::BIGINT AS photos, count(*)::BIGINT AS faces FROM detections GROUP BY 1", "detections")

@@ -293,7 +293,6 @@ FROM items i JOIN (SELECT batch_id, count(*) AS n FROM items GROUP BY 1) b USING
 def claim_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next hundred items with batch and photo, marked as claimed and routed to a queue."""
     i = items(spark, sf_dir)
-    batches = i.groupBy("batch_id").agg(F.count("*").alias("n"))
-    rows = i.where("status = 'queued'").join(batches, "batch_id").join(photos(spark, sf_dir).select("photo_id", "filename"), F.col("item_id") == F.col("photo_id"))
+    rows = i.where("status = 'queued' and batch_id is not null").join(photos(spark, sf_dir).select("photo_id", "filename"), F.col("item_id") == F.col("photo_id"))
     queue = F.when(F.col("filename") == "1-URGENT", "drive-downloads").otherwise("face-processing")
     return rows.orderBy("ts", "item_id").limit(100).select("item_id", "batch_id", "photo_id", queue.alias("queue"), F.concat(F.lit("dispatching:"), F.col("item_id").cast("string")).alias("token"))

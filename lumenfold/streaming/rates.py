@@ -23,6 +23,12 @@ EMPTY = -(1 << 62)
 OUT = "scope long, now long, images long, faces long, images_per_s double, faces_per_s double, version long"
 
 
+def per_second(n: int, spent: int) -> float:
+    """n / spent to three places, halves away from zero as in SQL; in integers, so that no half is lost."""
+    size = (2000 * abs(n) + spent) // (2 * spent) / 1000
+    return size if n >= 0 else -size
+
+
 class Ring:
     """The slots of one scope: second, images and faces of each."""
 
@@ -48,7 +54,7 @@ class Ring:
             return 0, 0, 0.0, 0.0
         spent = max(1, min(WINDOW, now - int(self.second[seen].min()) + 1))
         images, faces = int(self.images[seen].sum()), int(self.faces[seen].sum())
-        return images, faces, round(images / spent, 3), round(faces / spent, 3)
+        return images, faces, per_second(images, spent), per_second(faces, spent)
 
 
 class Rates(StatefulProcessor):

@@ -29,6 +29,12 @@ def test_window_and_its_length():
     assert Ring().read(100) == (0, 0, 0.0, 0.0)
 
 
+def test_halves_are_rounded_as_in_sql():
+    """Over 16 seconds 1 / 16 = 0.0625 lies between two results."""
+    assert filled((85, 1, 3), (100, 0, 0))[0].read(100)[2:] == (0.063, 0.188)
+    assert filled((85, 1, -1), (100, 0, 0))[0].read(100)[2:] == (0.063, -0.063)
+
+
 def counts(spark, folder):
     return spark.readStream.schema(KINDS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
 

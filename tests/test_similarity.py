@@ -13,8 +13,8 @@ from lumenfold.functions.vector import normalised
 from lumenfold.operators.jumps import anchored_windows
 from lumenfold.operators.graph import components
 from lumenfold.operators.scans import paced
-from lumenfold.operators.similarity import bounded_edges, stable_pairs
-from lumenfold.plans.similarity import assigned, chosen, cluster_labels, decided, lasting, prototype_scores, prototypes
+from lumenfold.operators.similarity import bounded_edges, group_distances, stable_pairs
+from lumenfold.plans.similarity import assigned, chosen, cluster_labels, decided, lasting, prototype_scores, prototypes, weak_scores
 
 V = lambda d: [1 - d, math.sqrt(1 - (1 - d) ** 2)]
 DEG = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
@@ -85,6 +85,39 @@ def test_clusters_match_brute_force(spark):
     assert labels(spark, rows, 0.3, 0.45, 0.3, 0.02) == whole(vec, photo, anchor, 0.3, 0.45, 0.3, 0.02)
 
 
+@pytest.mark.parametrize("part", [4, 2048])
+def test_group_distances_by_parts(spark, part):
+    """Groups and photos of more rows than a part, one that spans all parts, null photos and scopes, copies in two groups: as brute force."""
+    rnd = np.random.default_rng(8)
+    vec = rnd.normal(size=(90, 5)).round(1).tolist()
+    vec[41], vec[42] = vec[40], vec[40]
+    rows = [(i, i % 2 if i else None, None if i % 7 == 3 else str(i % 7), vec[i]) for i in range(40)]
+    held = [(1 if i < 60 else i % 9, i % 2, str(i % 5), vec[i]) for i in range(40, 90)]
+    one = spark.createDataFrame(rows, "idx long, gallery int, photo_id string, vec array<double>")
+    many = spark.createDataFrame(held, "root long, gallery int, photo_id string, vec array<double>")
+    want = {}
+    for idx, gallery, photo, v in rows:
+        barred = {h[0] for h in held if h[1] == gallery and h[2] == photo}
+        for root, _, _, w in (h for h in held if h[1] == gallery and h[0] not in barred):
+            want.setdefault((idx, root), []).append(1 - np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+    got = {(r.idx, r.root): (r.nearest, r.farthest) for r in group_distances(one, many, many, part=part).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx((min(d), max(d))) for k, d in want.items())
+    two = {}
+    for r in group_distances(one, many, many, most=2, part=part).collect():
+        two.setdefault(r.idx, []).append((r.nearest, r.root))
+    assert {i: sorted(x)[:2] for i, x in two.items()} == {i: sorted((got[k][0], k[1]) for k in got if k[0] == i)[:2] for i in two}
+    assert two.keys() == {k[0] for k in got}
+
+
+def test_weak_rows_keep_their_nearest_groups_alone(spark):
+    """A weak row leaves a task with two groups, not with one for each of its gallery."""
+    anchors = spark.createDataFrame([(0, r, f"a{r}", DEG(5 * r)) for r in range(12)], "gallery int, root long, photo_id string, vec array<double>")
+    weak = spark.createDataFrame([(0, 50 + i, f"a{i}", DEG(5 * i + 1)) for i in range(6)], "gallery int, idx long, photo_id string, vec array<double>")
+    got = sorted((r.idx, r.root) for r in weak_scores(weak, anchors).collect())
+    assert got == sorted((50 + i, r) for i in range(6) for r in ([1, 2] if i == 0 else [i - 1, i + 1]))
+
+
 def test_selfie_decision(spark):
     rows = [(1, "a", 0.30, 2), (1, "b", 0.34, 2), (2, "a", 0.44, 1), (3, "a", 0.44, 2)]
     df = spark.createDataFrame(rows, "idx int, cluster_id string, best double, support int")

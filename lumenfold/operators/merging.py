@@ -7,6 +7,10 @@ of its groups, wherever it stands in the scan, and every round decides all such
 A group that many others want (copies of one face, say) would still take one of them a round. Such a hub takes a whole
 run of its edges together: those to single faces that want nothing else before, up to the first edge whose decision could depend on more. Among them the first of each photo joins.
 
+Before such rounds, whole stretches of the scan are done at once. Components of the open edges do not touch each other, so each is scanned by a task
+of its own, as long as it has at most STRETCH edges and members. Of a larger component the first STRETCH edges or fewer are scanned likewise: all others come after them.
+Only where even these are too many (ties, or groups of very many members) are they left to a round.
+
 Distances are bounded before they are computed: a group keeps one member as its centre, and the largest angle from it to any member. Only
 where the triangle inequality leaves a pair of groups open are their members compared, block by block.
 """
@@ -19,14 +23,20 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vector import dot, normalised
+from lumenfold.operators.graph import components
 from lumenfold.sources.storage import dropped, written
 
 BLOCK = 256
 #: Angles that differ by less are not told apart by bounds; the members decide.
 SLACK = 1e-6
+#: Edges of a component that one task scans, and members that it holds, of some 600 bytes each.
+STRETCH = 100_000
+#: Steps of distance by which the first edges of a component are cut off.
+STEPS = 1 << 16
 
 
 def _angle(a: Column, b: Column) -> Column:
@@ -103,7 +113,82 @@ def _paired(pairs: DataFrame, labels: DataFrame, vectors: DataFrame, groups: Dat
     return judged.join(far, ["root", "other"], "left").select("root", "other", F.coalesce("joins", F.col("far") <= complete, F.lit(False)).alias("joins"), "reach")
 
 
-def constrained_groups(anchors: DataFrame, edges: DataFrame, complete: float) -> DataFrame:
+def _scan(members: pd.DataFrame, edges: pd.DataFrame, complete: float) -> pd.DataFrame:
+    """(root, to) of the groups that join another after the scan of the edges (a, b, dist, l, r). members: root, photo_id, vec."""
+    vec = np.array(members["vec"].tolist(), np.float64)
+    held = {k: v.tolist() for k, v in members.groupby("root").indices.items()}
+    photo = members["photo_id"].to_numpy()
+    photos, to = {k: set(photo[v]) for k, v in held.items()}, {}
+
+    def root(x: int) -> int:
+        while x in to:
+            up = to[x]
+            to[x] = to.get(up, up)
+            x = up
+        return x
+
+    for a, b in edges.sort_values(["dist", "l", "r"])[["a", "b"]].itertuples(index=False):
+        x, y = root(a), root(b)
+        if x == y or not photos[x].isdisjoint(photos[y]):
+            continue
+        if len(held[x]) < len(held[y]):
+            x, y = y, x
+        left, right = vec[held[x]], vec[held[y]]
+        if any((np.clip(1 - left[i : i + BLOCK] @ right.T, 0, 2) > complete).any() for i in range(0, len(left), BLOCK)):
+            continue
+        to[y] = x
+        held[x] += held.pop(y)
+        photos[x] |= photos.pop(y)
+    return pd.DataFrame({"root": list(to), "to": [root(x) for x in to]}, dtype="int64")
+
+
+def _stretches(open_: DataFrame, labels: DataFrame, stretch: int) -> DataFrame:
+    """(unit, a, b, e) of the edges that are next in their component and few enough for a task, unit by unit."""
+
+    def units(edges: DataFrame) -> DataFrame:
+        named = components(edges.select("a", "b"))
+        part = edges.select("a", "b", "e").join(named.select(F.col("node").alias("a"), F.col("label").alias("unit")), "a")
+        members = named.join(labels, F.col("node") == F.col("root")).groupBy(F.col("label").alias("unit")).agg(F.count("*").alias("_members"))
+        size = part.groupBy("unit").agg(F.count("*").alias("_n")).join(members, "unit")
+        return written(part.join(size, "unit"), "units")
+
+    one, columns = units(open_), ["unit", "a", "b", "e"]
+    fits = (F.col("_n") <= stretch) & (F.col("_members") <= stretch)
+    if not one.where(~fits).limit(1).count():
+        return one.select(*columns)
+    big = one.where(~fits).withColumn("_step", F.floor(F.col("e.dist") * (STEPS / 2)))
+    upto = F.sum("_k").over(W.partitionBy("unit").orderBy("_step"))
+    steps = big.groupBy("unit", "_step").agg(F.count("*").alias("_k")).withColumn("_upto", upto).where(F.col("_upto") <= stretch)
+    first = written(big.join(steps.select("unit", "_step"), ["unit", "_step"], "left_semi").select("a", "b", "e"), "first")
+    return one.where(fits).select(*columns).unionByName(units(first).where(F.col("_members") <= stretch).select(*columns))
+
+
+def _scanned(spans: DataFrame, labels: DataFrame, vectors: DataFrame, complete: float) -> DataFrame:
+    """(root, to) of the groups that join another in the stretches (unit, a, b, e)."""
+    ends = spans.select("unit", F.explode(F.array("a", "b")).alias("root")).distinct()
+    members = ends.join(labels, "root").join(vectors, "idx").select("unit", "root", "photo_id", "vec")
+    edges = spans.select(F.col("unit").alias("of"), "a", "b", "e.*")
+    run = lambda members, edges: _scan(members, edges, complete)
+    return members.groupBy("unit").cogroup(edges.groupBy("of")).applyInPandas(run, "root long, to long")
+
+
+def _reaches(labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(root, vec, reach, n) of all groups."""
+    centre = vectors.select(F.col("idx").alias("root"), F.col("vec").alias("centre"))
+    met = labels.select("idx", "root").join(vectors, "idx").join(centre, "root")
+    turn = F.when(F.col("idx") == F.col("root"), 0.0).otherwise(_angle(F.col("centre"), F.col("vec")))
+    far = met.groupBy("root").agg(F.max(turn).alias("reach"), F.count("*").alias("n"))
+    return far.join(centre, "root").select("root", F.col("centre").alias("vec"), "reach", "n")
+
+
+def _renamed(open_: DataFrame, moves: DataFrame) -> DataFrame:
+    """The open edges between the groups that are left, the smallest of each two groups."""
+    name = lambda c: moves.select(F.col("root").alias(c), F.col("to").alias(f"{c}_to"))
+    rest = open_.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"), "e")
+    return rest.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+
+
+def constrained_groups(anchors: DataFrame, edges: DataFrame, complete: float, stretch: int = STRETCH) -> DataFrame:
     """(idx, root) of each anchor after the scan; root is the smallest member.
 
     anchors: idx, vec, photo_id, one row an idx; edges: l, r, dist. A null photo is a photo of its own. Anchors without an edge are their own root; no anchors give no rows.
@@ -113,24 +198,23 @@ def constrained_groups(anchors: DataFrame, edges: DataFrame, complete: float) ->
     vectors = written(anchors.join(ends, "idx", "left_semi").select("idx", normalised(F.col("vec")).alias("vec")), "vectors")
     own = F.coalesce(F.concat(F.lit("p"), F.col("photo_id").cast("string")), F.concat(F.lit("i"), F.col("idx").cast("string")))
     labels = written(anchors.join(ends, "idx", "left_semi").select("idx", F.col("idx").alias("root"), own.alias("photo_id")), "labels")
-    groups = written(vectors.select(F.col("idx").alias("root"), "vec", F.lit(0.0).alias("reach"), F.lit(1).cast("long").alias("n")), "groups")
     open_ = written(edges.where("l <> r").groupBy(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).agg(F.min(F.struct("dist", "l", "r")).alias("e")), "open")
+    moved = lambda c: F.coalesce("to", c)
     while open_.limit(1).count():
-        runs, pairs = _runs(_told(open_), groups, theta)
-        done = written(_joined(runs, labels).unionByName(_paired(pairs, labels, vectors, groups, complete, theta)), "decided")
-        moves = done.where("joins").select(F.col("other").alias("root"), F.col("root").alias("to"))
-        gone = done.where("not joins").select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b"))
-        moved = lambda c: F.coalesce("to", c)
+        spans = written(_stretches(open_, labels, stretch), "spans") if stretch else open_.limit(0)
+        if spans.limit(1).count():
+            moves, gone = written(_scanned(spans, labels, vectors, complete), "moves"), spans.select("a", "b")
+        else:
+            groups = written(_reaches(labels, vectors), "groups")
+            runs, pairs = _runs(_told(open_), groups, theta)
+            done = written(_joined(runs, labels).unionByName(_paired(pairs, labels, vectors, groups, complete, theta)), "decided")
+            moves = done.where("joins").select(F.col("other").alias("root"), F.col("root").alias("to"))
+            gone = done.where("not joins").select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b"))
         fresh = written(labels.join(moves, "root", "left").select("idx", moved("root").alias("root"), "photo_id"), "labels")
-        grown = done.where("joins").groupBy("root").agg(F.max("reach").alias("grown"))
-        size = groups.join(moves, "root", "left").groupBy(moved("root").alias("root")).agg(F.sum("n").alias("n"))
-        kept = written(groups.drop("n").join(moves, "root", "left_anti").join(grown, "root", "left").join(size, "root").select("root", "vec", F.greatest("reach", F.coalesce("grown", "reach")).alias("reach"), "n"), "groups")
-        name = lambda c: moves.select(F.col("root").alias(c), F.col("to").alias(f"{c}_to"))
-        rest = open_.join(gone, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"), "e")
-        after = written(rest.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")), "open")
-        for old in (labels, groups, open_):
+        after = written(_renamed(open_.join(gone, ["a", "b"], "left_anti"), moves), "open")
+        for old in (labels, open_):
             dropped(spark, old)
-        labels, groups, open_ = fresh, kept, after
+        labels, open_ = fresh, after
     least = labels.groupBy("root").agg(F.min("idx").alias("least"))
     merged = labels.join(least, "root").select("idx", F.col("least").alias("root"))
     alone = anchors.join(ends, "idx", "left_anti").select("idx", F.col("idx").alias("root"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lumenfold.operators import merging
 from lumenfold.operators.merging import constrained_groups
 
 
@@ -72,6 +73,27 @@ def test_one_large_component(spark):
     assert grouped(spark, rows, edges, 0.5) == scanned(vec, photo, edges, 0.5)
 
 
+@pytest.mark.parametrize("stretch", [100_000, 12])
+def test_components_are_scanned_without_rounds(spark, monkeypatch, stretch):
+    """A dense component needs no round of its edges, whole or in stretches."""
+    monkeypatch.setattr(merging, "_told", None)
+    rnd = np.random.default_rng(4)
+    n, photo = 12, [f"p{i % 5}" for i in range(12)]
+    vec = np.array([1.0, 0, 0, 0]) + rnd.normal(size=(n, 4)) * 0.3
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    edges = [(a, b, float(1 - unit[a] @ unit[b])) for a in range(n) for b in range(a + 1, n)][:: 1 if stretch > 12 else 3]
+    found = constrained_groups(spark.createDataFrame([(i, vec[i].tolist(), photo[i]) for i in range(n)], "idx long, vec array<double>, photo_id string"), spark.createDataFrame(edges, "l long, r long, dist double"), 0.3, stretch).collect()
+    assert [r.root for r in sorted(found, key=lambda r: r.idx)] == scanned(vec, photo, edges, 0.3)
+
+
+def test_rounds_without_stretches(spark):
+    """What no task could hold is left to the rounds."""
+    rows, edges, want = graphs(6, 2)
+    anchors = spark.createDataFrame(rows, "idx long, vec array<double>, photo_id string")
+    found = constrained_groups(anchors, spark.createDataFrame(edges, "l long, r long, dist double"), 0.3, 0).collect()
+    assert [r.root for r in sorted(found, key=lambda r: r.idx)] == want
+
+
 def test_without_edges_or_rows(spark):
     assert grouped(spark, [(4, [1.0, 0.0], "a"), (2, [1.0, 0.0], None)], [], 0.5) == [2, 4]
     assert grouped(spark, [], [], 0.5) == []

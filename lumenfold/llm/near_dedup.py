@@ -22,7 +22,7 @@ component compares these with all its members, block by block. Nothing is droppe
 
 A node with a child that hardly shrinks (its members are alike, yet not linked) is compared in full itself: every
 two of its blocks that do not lie in one component meet in a task of their own. A comparison in full misses
-nothing that its node holds, so it is done in the first six trees only.
+nothing that its node holds, and it is done in every tree, so that no node goes unread.
 
 Defined cases: null text, or text without a word, has an empty set, links with nothing and is kept;
 fewer words than a shingle has make one shingle; very long texts are shingled whole; rows that repeat an id and
@@ -57,8 +57,6 @@ SLICE = 4096
 TIGHT = 0.7
 #: Trees whose large roots are contracted.
 CONTRACT = 2
-#: Trees in which large nodes are compared in full: such a node misses no pair that it holds, so six roots miss a pair of similarity 0.8 with 6e-5.
-FULL = 6
 _draw = np.random.default_rng(20)
 _FACTOR = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _draw.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -118,11 +116,11 @@ def sketched(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def roots(classes: DataFrame, trees: int, first: int) -> DataFrame:
-    """(class, lab, node, over, up, late) of each class in the first trees: a root is named by one minwise token; late says that the tree is not among the first FULL."""
+    """(class, lab, node, over, up) of each class in the first trees: a root is named by one minwise token."""
     places = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(t * SKETCH // trees % SKETCH).alias("p")) for t in range(first)))
     rows = classes.withColumn("_root", F.explode(places))
     none = F.lit(None).cast("long")
-    return rows.select("class", "lab", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), none.alias("over"), none.alias("up"), (F.col("_root.t") >= FULL).alias("late"))
+    return rows.select("class", "lab", F.xxhash64(F.col("_root.t"), F.element_at("sketch", F.col("_root.p") + 1)).alias("node"), none.alias("over"), none.alias("up"))
 
 
 def unfinished(rows: DataFrame) -> DataFrame:
@@ -131,7 +129,7 @@ def unfinished(rows: DataFrame) -> DataFrame:
     part = rows.groupBy("node", "lab").agg(F.count("*").alias("_many"), F.max("up").alias("_up"))
     size = part.groupBy("node").agg(F.sum("_many").alias("n"), F.max("_up").alias("was"), F.max("_many").alias("_most"), F.max_by("lab", "_many").alias("top"))
     size = size.where("n > _most").select("node", "n", "was", "top", (F.col("n") - F.col("_most")).alias("rest"))
-    return rows.join(size, "node").select("node", "class", "lab", "over", "late", "n", "was", "top", "rest")
+    return rows.join(size, "node").select("node", "class", "lab", "over", "n", "was", "top", "rest")
 
 
 def pivot_blocks(large: DataFrame, node: int) -> DataFrame:
@@ -177,21 +175,21 @@ def leaves(classes: DataFrame, trees: int, node: int) -> DataFrame:
         if parents is not None:
             tight = written(level.where((F.col("n") > TIGHT * F.col("was")) & (F.col("rest") > node)).select("over").distinct(), "tight")
             if tight.limit(1).count():
-                parts.append(block_pairs(parents.join(tight, F.col("node") == F.col("over"), "left_semi").where("not late"), block))
+                parts.append(block_pairs(parents.join(tight, F.col("node") == F.col("over"), "left_semi"), block))
                 level = level.join(tight, "over", "left_anti")
         parts.append(level.where(F.col("n") <= node).select(F.col("node").alias("unit"), "class"))
         large = level.where(F.col("n") > node)
         few = (F.col("rest") <= node) | F.lit(depth >= SKETCH)
-        stuck = large.where(few & ~F.col("late"))
+        stuck = large.where(few)
         if stuck.limit(1).count():
             parts.append(block_pairs(stuck, block))
-        parents = written(large.where(~few).select("node", "class", "lab", "top", "late", "n"), "parents")
+        parents = written(large.where(~few).select("node", "class", "lab", "top", "n"), "parents")
         if not parents.limit(1).count():
             break
         turn = parents.join(classes.select("class", "sketch"), "class").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
         spots = [F.pmod(F.xxhash64("node", "_i", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(POSITIONS)]
         tokens = [F.element_at("sketch", p + 1) for p in spots]
-        rows = turn.select("class", "lab", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("node").alias("over"), F.col("n").alias("up"), "late")
+        rows = turn.select("class", "lab", F.xxhash64("node", "_i", *tokens).alias("node"), F.col("node").alias("over"), F.col("n").alias("up"))
         depth += 1
     return reduce(DataFrame.unionByName, parts)
 

@@ -800,3 +800,14 @@ def test_alignment_of_long_texts_is_linear(spark):
     began = time.perf_counter()
     row = alignment.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTE_TOKENIZER, PIECE_TOKENIZER).first()
     assert row.n_links > 300_000 and time.perf_counter() - began < 60
+
+
+def test_late_trees_are_compared_in_full(spark):
+    """Classes that meet only in the trees of the second half, in nodes that branching does not shrink: every pair shares a unit."""
+    early = {t * near_dedup.SKETCH // near_dedup.TREES for t in range(near_dedup.TREES // 2)}
+    rows = [(bytes([i]), i, [1000 + i if p in early else p for p in range(near_dedup.SKETCH)]) for i in range(12)]
+    classes = spark.createDataFrame(rows, "class binary, lab long, sketch array<int>")
+    units = {}
+    for r in near_dedup.leaves(classes, near_dedup.TREES, 4).collect():
+        units.setdefault(r.unit, set()).add(r["class"][0])
+    assert {(a, b) for u in units.values() for a in u for b in u if a < b} == {(a, b) for a in range(12) for b in range(a + 1, 12)}

@@ -12,12 +12,12 @@ its agreement, a pair of similarity 0.8 is missed with probability 0.4% at 5 lev
 The comparison has two steps. On sketches, each node keeps the components of the pairs that may be
 similar enough (64 positions, four standard deviations below the threshold), and their components
 are the candidate groups. On the full sets, recomputed from the whole texts of the candidates only, each
-group is compared exhaustively, pair by pair; a group too large for a task is compared node by node of the
-trees instead. What leaves a task is an edge from each member to the first of its component in the group, never all pairs.
+group is compared exhaustively, pair by pair; a group too large for a task is compared by pairs of its blocks, or
+node by node of the trees where that is fewer rows. What leaves a task is an edge from each member to the first of its component in the group, never all pairs.
 
 Large groups of near copies are contracted before the trees branch: the members of a large root are dealt
 to blocks, a few of them (pivots) stand in every block, and the links found there, confirmed on full sets, give
-components. A pair within one component is known, so the trees only look for pairs across components: a node of one component ends, and a large node with few members outside its largest
+components. A pair within one component is known, so the trees and both steps of the comparison only look for pairs across components: a node of one component ends, and a large node with few members outside its largest
 component compares these with all its members, block by block. Nothing is dropped by this.
 
 A node with a child that hardly shrinks (its members are alike, yet not linked) is compared in full itself: every
@@ -209,18 +209,19 @@ def _stars(many: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]
     return [(root(x), x) for x in range(many) if root(x) != x]
 
 
-def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array], list], compare: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
-    """Edges (group, a, b) that compare() finds among the values of each group, whose members come in order. Groups are of
-    bounded size; a partition is read in the order of its groups, one in memory at a time beside the batch."""
+def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array], list], compare: Callable[[list, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """Edges (group, a, b) that compare() finds among the values and labels of each group, whose members come in order. Groups are of
+    bounded size; a partition is read in the order of its groups, one in memory at a time beside the batch. A group of one label is not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple[int, bytes, bytes]] = []
 
         def close() -> None:
-            if len(held) > 1:
+            labels = np.array([h[3] for h in held], np.int64)
+            if len(held) > 1 and (labels != labels[0]).any():
                 names = [h[1] for h in held]
-                out.extend((held[0][0], names[i], names[j]) for i, j in compare([h[2] for h in held]) if names[i] != names[j])
+                out.extend((held[0][0], names[i], names[j]) for i, j in compare([h[2] for h in held], labels) if names[i] != names[j])
             held.clear()
 
         def emit() -> pa.RecordBatch:
@@ -232,7 +233,7 @@ def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                for row in zip(part.column(group).to_pylist(), part.column("class").to_pylist(), decode(part.column(column)), strict=True):
+                for row in zip(part.column(group).to_pylist(), part.column("class").to_pylist(), decode(part.column(column)), part.column("lab").to_pylist(), strict=True):
                     if held and held[0][0] != row[0]:
                         close()
                     held.append(row)
@@ -241,26 +242,27 @@ def _grouped(df: DataFrame, group: str, column: str, decode: Callable[[pa.Array]
         yield emit()
         give_back()
 
-    return df.select(group, "class", column).repartition(group).sortWithinPartitions(group, "class").transform(small_batches).mapInArrow(run, f"{group} long, a binary, b binary")
+    return df.select(group, "class", column, "lab").repartition(group).sortWithinPartitions(group, "class").transform(small_batches).mapInArrow(run, f"{group} long, a binary, b binary")
 
 
-def _alike_sketches(least: int) -> Callable[[list], list[tuple[int, int]]]:
-    def compare(rows: list) -> list[tuple[int, int]]:
+def _alike_sketches(least: int) -> Callable[[list, np.ndarray], list[tuple[int, int]]]:
+    def compare(rows: list, labels: np.ndarray) -> list[tuple[int, int]]:
+        """Stars of the pairs of different labels."""
         if len(rows) == 2:
             return [(0, 1)] if (rows[0] == rows[1]).sum() >= least else []
         block = np.array(rows)
         found = []
         for i in range(len(block) - 1):
             same = (block[i + 1 :] == block[i]).sum(1)
-            found += [(i, i + 1 + int(j)) for j in np.flatnonzero(same >= least)]
+            found += [(i, i + 1 + int(j)) for j in np.flatnonzero((same >= least) & (labels[i + 1 :] != labels[i]))]
         return _stars(len(block), iter(found))
 
     return compare
 
 
-def _alike_sets(percent: int) -> Callable[[list], list[tuple[int, int]]]:
-    def compare(rows: list) -> list[tuple[int, int]]:
-        """Exact: the sizes of all intersections, as products of slices of the 0/1 matrix of rows and shared values."""
+def _alike_sets(percent: int) -> Callable[[list, np.ndarray], list[tuple[int, int]]]:
+    def compare(rows: list, labels: np.ndarray) -> list[tuple[int, int]]:
+        """Exact, for pairs of different labels: the sizes of all intersections, as products of slices of the 0/1 matrix of rows and shared values."""
         size = np.array([len(r) for r in rows])
         flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
         order = np.argsort(flat, kind="stable")
@@ -276,12 +278,38 @@ def _alike_sets(percent: int) -> Callable[[list], list[tuple[int, int]]]:
             has = np.zeros((len(rows), min(SLICE, many - low)), np.float32)
             has[owner[a:b], value[a:b] - low] = 1
             both += has @ has.T
-        fine = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+        fine = np.triu((100 * both >= percent * (size[:, None] + size[None, :] - both)) & (labels[:, None] != labels), 1)
         return _stars(len(rows), zip(*(x.tolist() for x in np.nonzero(fine)), strict=True))
 
     return compare
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """(unit, class) of the members that edges (unit, a, b) touch."""
+    return edges.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
+
+
+def confirming(maybe: DataFrame, groups: DataFrame, node: int) -> DataFrame:
+    """(unit, class): what full sets are compared in. maybe: unit, a, b; groups: the components of these edges as class, group, lab.
+
+    A small group is one unit. A large one has its block pairs, which hold each two members once, or the units
+    that its edges come from, which hold them again in each tree: whichever has fewer rows. Both hold every edge.
+    """
+    block = max(1, 3 * node // 4)
+    part = groups.groupBy("group", "lab").agg(F.count("*").alias("_many"))
+    size = part.groupBy("group").agg(F.sum("_many").alias("n"), F.max("_many").alias("_most"), F.max_by("lab", "_many").alias("top"))
+    drawn = maybe.join(groups.select(F.col("class").alias("b"), "group"), "b").groupBy("group").agg(F.count("*").alias("_edges"))
+    full = 2 * block * F.ceil(F.col("n") / block) * F.ceil((F.col("n") - F.col("_most")) / block)
+    way = F.when(F.col("n") <= node, "one").when(full <= F.col("_edges"), "full").otherwise("units")
+    sized = written(groups.join(size.join(drawn, "group").select("group", "top", way.alias("way")), "group"), "groups")
+    parts = [sized.where("way = 'one'").select(F.xxhash64("group").alias("unit"), "class")]
+    if sized.where("way = 'full'").limit(1).count():
+        parts.append(block_pairs(sized.where("way = 'full'").select(F.xxhash64("group").alias("node"), "class", "lab", "top"), block))
+    if sized.where("way = 'units'").limit(1).count():
+        parts.append(ends(maybe.join(sized.where("way = 'units'").select(F.col("class").alias("b")), "b", "left_semi")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, percent: int, trees: int, node: int) -> DataFrame:
     """(a, b) between classes that confirmed links join, enough of them to hold every component together."""
     classes = rows.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"))
@@ -299,34 +327,30 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, perce
             here = [(c, s.tobytes()) for c, s in zip(part.column("class").to_pylist(), sets, strict=True) if _digest(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in here], pa.binary()), pa.array([s for _, s in here], pa.binary())], ["class", "set"])
 
-    def exact(units: DataFrame) -> DataFrame:
-        """Links among the members of units (unit, class) on full sets."""
+    def exact(units: DataFrame, named: DataFrame) -> DataFrame:
+        """Links of different labels among the members of units (unit, class) on full sets."""
         wanted = units.select("class").distinct().join(classes.select("class", F.col("first").alias("id")), "class")
-        sets = texts.join(wanted, "id").select("class", "text").transform(small_batches).mapInArrow(full, "class binary, set binary")
+        sets = texts.join(wanted, "id").select("class", "text").transform(small_batches).mapInArrow(full, "class binary, set binary").join(named.select("class", "lab"), "class")
         return written(_grouped(units.join(sets, "class"), "unit", "set", unpack, _alike_sets(percent)).select("a", "b"), "links")
 
-    def candidates(units: DataFrame) -> DataFrame:
-        """The members of units that may have a link in their unit, (unit, class)."""
-        maybe = _grouped(units.join(sketches, "class"), "unit", "sketch", values, _alike_sketches(least))
-        return written(maybe.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates")
+    def maybe(units: DataFrame, named: DataFrame) -> DataFrame:
+        """Stars (unit, a, b) of the members of different labels that may have a link in their unit."""
+        return written(_grouped(units.join(named, "class"), "unit", "sketch", values, _alike_sketches(least)), "maybe")
 
-    def confirmed(units: DataFrame) -> DataFrame:
-        """Links among the members of units: candidates on sketches, then each group of them on full sets, a large group unit by unit."""
-        maybe = written(_grouped(units.join(sketches, "class"), "unit", "sketch", values, _alike_sketches(least)), "maybe")
-        groups = components(maybe.select("a", "b")).select(F.col("node").alias("class"), F.col("label").alias("group"))
-        sized = written(groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group"), "groups")
-        one = sized.where(F.col("n") <= node).select(F.xxhash64("group").alias("unit"), "class")
-        known = maybe.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
-        return exact(one.unionByName(known.join(sized.where(F.col("n") > node), "class", "left_semi").select("unit", "class")))
+    def confirmed(units: DataFrame, named: DataFrame) -> DataFrame:
+        """Links of different labels among the members of units: candidates on sketches, then each group of them on full sets."""
+        found = maybe(units, named)
+        groups = components(found.select("a", "b")).select(F.col("node").alias("class"), F.col("label").alias("group"))
+        return exact(confirming(found, groups.join(named.select("class", "lab"), "class"), node), named)
 
     named = sketches.withColumn("lab", F.xxhash64("class"))
     large = written(unfinished(roots(named, trees, min(trees, CONTRACT))).where(F.col("n") > node), "large")
     if not large.limit(1).count():
-        return confirmed(written(leaves(named, trees, node), "leaves"))
-    found = exact(candidates(pivot_blocks(large, node)))
+        return confirmed(written(leaves(named, trees, node), "leaves"), named)
+    found = exact(ends(maybe(pivot_blocks(large, node), named)), named)
     label = components(found).select(F.col("node").alias("class"), "label")
     named = written(sketches.join(label, "class", "left").select("class", "sketch", F.xxhash64(F.coalesce("label", "class")).alias("lab")), "named")
-    return found.unionByName(confirmed(written(leaves(named, trees, node), "leaves")))
+    return found.unionByName(confirmed(written(leaves(named, trees, node), "leaves"), named))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = TREES, node: int = NODE) -> DataFrame:

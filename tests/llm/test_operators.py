@@ -811,3 +811,29 @@ def test_late_trees_are_compared_in_full(spark):
     for r in near_dedup.leaves(classes, near_dedup.TREES, 4).collect():
         units.setdefault(r.unit, set()).add(r["class"][0])
     assert {(a, b) for u in units.values() for a in u for b in u if a < b} == {(a, b) for a in range(12) for b in range(a + 1, 12)}
+
+
+def test_a_large_group_is_confirmed_once(spark):
+    """Edges that repeat in the units of twelve trees: a large group is compared in block pairs, which hold each two labels once, not unit by unit; a large group of few edges stays with its units."""
+    name = lambda i: i.to_bytes(2, "big")
+    star = [(t, name(0), name(i)) for t in range(12) for i in range(1, 200)]
+    chain = [(1000 + i, name(i), name(i + 1)) for i in range(500, 599)]
+    members = [(name(i), name(0), i if i < 20 else -1) for i in range(200)] + [(name(i), name(500), i) for i in range(500, 600)]
+    maybe = spark.createDataFrame(star + chain, "unit long, a binary, b binary")
+    groups = spark.createDataFrame(members, "class binary, group binary, lab long")
+    units = {}
+    rows = near_dedup.confirming(maybe, groups, 40).collect()
+    for r in rows:
+        units.setdefault(r.unit, set()).add(int.from_bytes(r["class"], "big"))
+    met = {(a, b) for u in units.values() for a in u for b in u if a < b}
+    assert {(a, b) for a in range(20) for b in range(a + 1, 200)} <= met
+    assert {(i, i + 1) for i in range(500, 599)} <= met
+    assert sum(x < 500 for u in units.values() for x in u) < 600 < len(star) and sum(x >= 500 for u in units.values() for x in u) == 2 * len(chain)
+
+
+def test_one_label_is_not_compared(spark):
+    """Sketches that are all equal: only pairs of different labels are candidates."""
+    rows = [(u, bytes([u, i]), 7, i if u == 1 else 0) for u in (1, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "unit long, class binary, sketch int, lab long")
+    found = near_dedup._grouped(df, "unit", "sketch", lambda a: [np.full(near_dedup.SKETCH, x) for x in a.to_pylist()], near_dedup._alike_sketches(40)).collect()
+    assert {(r.unit, r.a, r.b) for r in found} == {(1, bytes([1, 0]), bytes([1, i])) for i in range(1, 5)}

@@ -1,7 +1,7 @@
 """Life cycle of batches and their items, as keyed state with timers.
 
 Commands of a batch arrive as a stream: create, append, seal, claim, confirm, start, retry, succeed, fail, skip, cancel, finalize.
-The state of a batch is one row of counters, a map of its items, and a map of the leases that end at a time; event-time timers
+The state of a batch is one row of counters, a map of its items by pages of ids, and a map of the leases that end at a time; event-time timers
 seal a batch that has received nothing for six hours, put items whose lease of 17 minutes is over back to the queue, and forget
 a batch 30 days after its end. A command finds the state as it is at its own time, whether or not the watermark has reached a timer before it, so
 neither the cuts between micro-batches nor a restart changes the result.
@@ -9,6 +9,8 @@ neither the cuts between micro-batches nor a restart changes the result.
 States: a batch is receiving, running, finalizing, then completed, partial_failed or failed; or cancelled. An item is queued, processing, then
 succeeded, failed, skipped or cancelled. A command that its state forbids changes nothing but the count of rejected ones; so does one that comes after a later
 one of its batch, a repeated append, or an unknown kind. Commands without a batch, item, time or number are rejected likewise; an empty stream has no batches.
+
+A command crosses to Python as a line of text and a batch comes back as one, as each column costs time for each batch; each call of the state costs as much as many commands, so few are made.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from contextlib import contextmanager
 from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,12 +28,15 @@ from lumenfold.sources.storage import fresh_path
 
 LEASE_MS, IDLE_MS, FORGET_MS = 17 * 60_000, 6 * 3_600_000, 30 * 86_400_000
 LATE = "10 minutes"
+#: Ids of items that one entry of the state's map holds.
+PAGE = 64
 #: What a command holds.
 COMMANDS = "batch_id long, item_id long, at timestamp, ms long, seq long, kind string, token long, expected long, faces long, processor string"
 TERMINAL = {"succeed": "succeeded", "fail": "failed", "skip": "skipped", "cancel": "cancelled"}
 OF_ITEM = ("append", "claim", "confirm", "start", "retry")
 RUNNING = ("receiving", "running", "finalizing")
 ENDED = ("completed", "partial_failed", "failed", "cancelled")
+PROCESSORS = ("cpu", "gpu")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,12 +62,14 @@ class Batch:
     last_ms: int = 0
     clock_ms: int = -(1 << 62)
     clock_seq: int = 0
+    idle_timer: int | None = None
+    forget_timer: int | None = None
     version: int = 0
 
 
 TYPES = {"status": "string", "processor": "string"}
 BATCH = ", ".join(f"{f.name} {TYPES.get(f.name, 'long')}" for f in fields(Batch))
-SHOWN = [f.name for f in fields(Batch) if f.name not in ("clock_ms", "clock_seq")]
+SHOWN = [f.name for f in fields(Batch) if f.name not in ("clock_ms", "clock_seq", "idle_timer", "forget_timer")]
 OUT = "batch_id long, " + ", ".join(f"{n} {TYPES.get(n, 'long')}" for n in SHOWN)
 
 
@@ -75,7 +82,7 @@ class Item:
     since_ms: int | None = None
 
 
-ITEM = "status string, token long, since_ms long"
+ITEMS = "item_id array<long>, status array<string>, token array<long>, since_ms array<long>"
 
 
 class Machine:
@@ -109,7 +116,7 @@ class Machine:
         return "finalizing" if self.batch.completed >= self.batch.total else "running"
 
     def _merge(self, processor: str | None) -> None:
-        if processor in ("cpu", "gpu"):
+        if processor in PROCESSORS:
             self.batch.processor = processor if self.batch.processor in (None, processor) else "mixed"
 
     def apply(self, kind: str, key: int, now: int, seq: int, token: int | None, expected: int | None, faces: int | None, processor: str | None) -> None:
@@ -203,8 +210,20 @@ class Machine:
         return True
 
 
+def read(line: str) -> tuple:
+    """(item, ms, seq, token, expected, faces, kind, processor) of a line of packed()."""
+    *numbers, kind, processor = line.split(",")
+    return *(int(x) if x else None for x in numbers), kind, processor or None
+
+
+def in_order(command: tuple) -> tuple:
+    """By time and number; those without one come last."""
+    _, ms, seq, *_ = command
+    return ms is None, ms or 0, seq is None, seq or 0
+
+
 class Lifecycle(StatefulProcessor):
-    """State of one batch in Spark. Items are read when a command first names them and written once a micro-batch."""
+    """State of one batch in Spark. A page of items is read when a command first names one of them and written once a micro-batch; a batch that is new has nothing to read."""
 
     def __init__(self, lease_ms: int = LEASE_MS, idle_ms: int = IDLE_MS, forget_ms: int = FORGET_MS) -> None:
         self.lease_ms, self.idle_ms, self.forget_ms = lease_ms, idle_ms, forget_ms
@@ -212,86 +231,94 @@ class Lifecycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.batch = handle.getValueState("batch", BATCH)
-        self.items = handle.getMapState("items", "item_id long", ITEM)
+        self.items = handle.getMapState("items", "page long", ITEMS)
         self.leases = handle.getMapState("leases", "ms long", "items array<long>")
-        self.timers = handle.getValueState("timers", "idle_ms long, forget_ms long")
 
-    def _open(self) -> tuple[Machine, dict[int, Item | None], dict[int, list[int]]]:
-        held = self.batch.get() if self.batch.exists() else None
-        seen: dict[int, Item | None] = {}
+    def _open(self, held: tuple | None) -> tuple[Machine, dict[int, dict[int, Item]], set[int], dict[int, list[int]]]:
+        """The machine of a batch, its pages as they are read, the pages that have changed, and the leases given."""
+        pages: dict[int, dict[int, Item]] = {}
+        changed: set[int] = set()
         ends: dict[int, list[int]] = {}
 
-        def item(key: int) -> Item | None:
-            if key not in seen:
-                seen[key] = Item(*self.items.getValue((key,))) if self.items.containsKey((key,)) else None
-            return seen[key]
+        def page(number: int) -> dict[int, Item]:
+            if number not in pages:
+                kept = self.items.getValue((number,)) if held else None
+                pages[number] = {i: Item(*x) for i, *x in zip(*kept, strict=True)} if kept else {}
+            return pages[number]
+
+        def put(key: int, item: Item) -> None:
+            page(key // PAGE)[key] = item
+            changed.add(key // PAGE)
 
         def lease(ms: int, key: int) -> None:
             ends.setdefault(ms, []).append(key)
 
-        return Machine(Batch(*held) if held else Batch(), item, seen.__setitem__, lease, self.lease_ms, self.idle_ms), seen, ends
+        return Machine(Batch(*held) if held else Batch(), lambda key: page(key // PAGE).get(key), put, lease, self.lease_ms, self.idle_ms), pages, changed, ends
 
     def _over(self, batch: Batch, now: int) -> bool:
         return batch.status in ENDED and batch.last_ms + self.forget_ms <= now
 
     def _forget(self) -> None:
-        for state in (self.batch, self.items, self.leases, self.timers):
+        for state in (self.batch, self.items, self.leases):
             state.clear()
 
-    def _close(self, key: tuple, machine: Machine, seen: dict[int, Item | None], ends: dict[int, list[int]]) -> pd.DataFrame:
+    def _close(self, key: tuple, held: tuple | None, machine: Machine, pages: dict[int, dict[int, Item]], changed: set[int], ends: dict[int, list[int]]) -> Iterator[pd.DataFrame]:
         b = machine.batch
-        for i, item in seen.items():
-            if item:
-                self.items.updateValue((i,), astuple(item))
+        for number in changed:
+            rows = [(i, *astuple(item)) for i, item in pages[number].items()]
+            self.items.updateValue((number,), tuple(map(list, zip(*rows, strict=True))))
         for ms, ids in ends.items():
-            before = self.leases.getValue((ms,))[0] if self.leases.containsKey((ms,)) else []
-            self.leases.updateValue((ms,), ([*before, *ids],))
-            self.handle.registerTimer(ms)
-        idle, forget = self.timers.get() if self.timers.exists() else (None, None)
-        if idle is None and machine.idle_until() is not None:
-            idle = machine.idle_until()
-            self.handle.registerTimer(idle)
-        if forget is None and b.status in ENDED:
-            forget = b.last_ms + self.forget_ms
-            self.handle.registerTimer(forget)
-        self.timers.update((idle, forget))
+            running = [i for i in dict.fromkeys(ids) if (item := machine.item(i)) and item.status == "processing" and item.since_ms + self.lease_ms + 1 == ms]
+            if running:
+                before = self.leases.getValue((ms,)) if held else None
+                self.leases.updateValue((ms,), ([*(before[0] if before else ()), *running],))
+                self.handle.registerTimer(ms)
+        if b.idle_timer is None and machine.idle_until() is not None:
+            b.idle_timer = machine.idle_until()
+            self.handle.registerTimer(b.idle_timer)
+        if b.forget_timer is None and b.status in ENDED:
+            b.forget_timer = b.last_ms + self.forget_ms
+            self.handle.registerTimer(b.forget_timer)
         b.version += 1
         self.batch.update(astuple(b))
-        return pd.DataFrame({"batch_id": [key[0]], **{n: pd.array([getattr(b, n)], "string" if n in TYPES else "Int64") for n in SHOWN}})
+        yield pd.DataFrame({"line": [",".join("" if x is None else str(x) for x in (key[0], *(getattr(b, n) for n in SHOWN)))]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        machine, seen, ends = self._open()
-        parts = pd.concat([p[["kind", "item_id", "ms", "seq", "token", "expected", "faces", "processor"]] for p in rows]).sort_values(["ms", "seq"], kind="stable").astype(object)
-        for kind, item, ms, *rest in parts.where(parts.notna(), None).itertuples(index=False):
-            seq, token, expected, faces, processor = rest
-            whole = [None if x is None else int(x) for x in (ms, seq, token, expected, faces)]
+        held = self.batch.get()
+        opened = self._open(held)
+        for item, ms, seq, token, expected, faces, kind, processor in sorted((read(line) for part in rows for line in part["command"].tolist()), key=in_order):
             if item is None or ms is None or seq is None:
-                machine.batch.rejected += 1
+                opened[0].batch.rejected += 1
             else:
-                if self._over(machine.batch, whole[0]):
+                if self._over(opened[0].batch, ms):
                     self._forget()
-                    machine, seen, ends = self._open()
-                machine.apply(kind or "", int(item), *whole, processor)
-        yield self._close(key, machine, seen, ends)
+                    held = None
+                    opened = self._open(held)
+                opened[0].apply(kind, item, ms, seq, token, expected, faces, processor)
+        yield from self._close(key, held, *opened)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
-        machine, seen, ends = self._open()
-        idle, forget = self.timers.get() if self.timers.exists() else (None, None)
-        if forget is not None and forget <= now:
-            if self._over(machine.batch, now):
+        held = self.batch.get()
+        if held is None:  # forgotten since
+            return
+        opened = self._open(held)
+        machine = opened[0]
+        b = machine.batch
+        if b.forget_timer is not None and b.forget_timer <= now:
+            if self._over(b, now):
                 self._forget()
                 return
-            forget = None
-        if idle is not None and idle <= now:
+            b.forget_timer = None
+        if b.idle_timer is not None and b.idle_timer <= now:
             machine.advance(now)
-            idle = None
-        self.timers.update((idle, forget))
-        if self.leases.containsKey((now,)):
-            for item in self.leases.getValue((now,))[0]:
+            b.idle_timer = None
+        ended = self.leases.getValue((now,))
+        if ended:
+            for item in ended[0]:
                 machine.expire(item, now)
             self.leases.removeKey((now,))
-        yield self._close(key, machine, seen, ends)
+        yield from self._close(key, held, *opened)
 
     def close(self) -> None:
         """Nothing is held beside the state."""
@@ -309,14 +336,24 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+def packed() -> Column:
+    """A command as a line of text: its numbers, then kind and processor where they are known."""
+    numbers = [F.col(n).cast("string") for n in ("item_id", "ms", "seq", "token", "expected", "faces")]
+    kind = F.when(F.col("kind").isin("create", "seal", "finalize", *OF_ITEM, *TERMINAL), F.col("kind"))
+    processor = F.when(F.col("processor").isin(*PROCESSORS), F.col("processor"))
+    return F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in (*numbers, kind, processor)))
+
+
 def run(commands: DataFrame, sink: str, marks: str, **limits: int) -> None:
     """Apply a stream of COMMANDS to its end: changed batches go to the table sink, progress to marks, so that another call goes on where this one ended."""
 
     def put(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{sink}/micro_batch={number}")  # a repeated micro-batch replaces itself
+        parts = F.split("line", ",")
+        shown = rows.select(*(F.nullif(parts[i], F.lit("")).cast(TYPES.get(n, "long")).alias(n) for i, n in enumerate(("batch_id", *SHOWN))))
+        shown.write.mode("overwrite").parquet(f"{sink}/micro_batch={number}")  # a repeated micro-batch replaces itself
 
-    columns = [c.split()[0] for c in COMMANDS.split(", ")]
-    changed = commands.select(*columns).withWatermark("at", LATE).groupBy("batch_id").transformWithStateInPandas(Lifecycle(**limits), OUT, "Update", "EventTime")
+    lines = commands.select(F.col("batch_id").cast("string").alias("batch"), "at", packed().alias("command")).withWatermark("at", LATE)
+    changed = lines.groupBy("batch").transformWithStateInPandas(Lifecycle(**limits), "line string", "Update", "EventTime")
     with rocksdb(commands.sparkSession):
         changed.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
 

@@ -1,7 +1,9 @@
 """The life cycle of batches: rules one by one, and the stream with its restarts and timers."""
 
+from collections import Counter
 from datetime import datetime, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,42 @@ def test_empty_and_null_commands(spark, rows):
     folder = fresh_path(spark, "commands")
     put(spark, folder, 0, rows)
     assert all(r.status is None and r.rejected == 1 for r in lifecycle.states(commands(spark, folder)).collect())
+
+
+def test_long_numbers_nulls_and_commas(spark):
+    """Numbers beyond 53 bits stay exact beside nulls, and kinds and processors with commas are unknown ones."""
+    folder, long = fresh_path(spark, "commands"), (1 << 53) + 1
+    row = lambda b, i, ms, kind, token=None, processor=None: [b, i, ms, ms, kind, token, None, None, processor]
+    log = lambda b: [row(b, None, 1, "append"), row(b, long, 2, "create"), row(b, long, 3, "append"), row(b, long, 4, "claim", long), row(b, long, 5, "confirm", b), row(b, long, 6, "succeed,cpu"), row(b, long, 7, "start", b, "cpu,gpu")]
+    put(spark, folder, 0, [row(None, None, 1, "create"), *log(long), *log(long - 1), *log(-7)])
+    found = {r.batch_id: (r.status, r.total, r.rejected, r.processing, r.processor) for r in lifecycle.states(commands(spark, folder)).collect()}
+    assert found == {None: (None, 0, 1, 0, None), long: ("receiving", 1, 2, 1, None), long - 1: ("receiving", 1, 3, 1, None), -7: ("receiving", 1, 3, 1, None)}
+
+
+class Counted:
+    """A state that counts the calls to it, as value, map and handle."""
+
+    def __init__(self, calls):
+        self.calls, self.kept = calls, {}
+
+    def __getattr__(self, name):
+        self.calls[name] += 1
+        plain = {
+            "get": lambda: self.kept.get(()), "exists": lambda: () in self.kept, "update": lambda x: self.kept.__setitem__((), x), "clear": self.kept.clear, "getValue": self.kept.get, "containsKey": self.kept.__contains__,
+            "updateValue": self.kept.__setitem__, "removeKey": self.kept.pop, "registerTimer": lambda ms: None, "getValueState": lambda *a: Counted(self.calls), "getMapState": lambda *a: Counted(self.calls),
+        }
+        return plain[name]
+
+
+def test_calls_of_the_state_do_not_grow_with_items_and_leases():
+    """Sixty items of a batch, all started and ended within a micro-batch: few calls, and no timer for leases that are over."""
+    calls = Counter()
+    processor = lifecycle.Lifecycle()
+    processor.init(Counted(calls))
+    calls.clear()
+    log = [("create", 0), *((k, i) for k in ("append", "start", "succeed") for i in range(60))]
+    names = "item_id ms seq token expected faces kind processor".split()
+    rows = pd.DataFrame([(i, n, n, None, None, 1, kind, "cpu") for n, (kind, i) in enumerate(log)], columns=names)
+    rows["command"] = [f"{i},{n},{n},,,1,{kind},cpu" for n, (kind, i) in enumerate(log)]
+    list(processor.handleInputRows((1,), iter([rows]), None))
+    assert calls["registerTimer"] == 1 and sum(calls.values()) <= 4, calls

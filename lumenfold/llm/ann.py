@@ -2,9 +2,10 @@
 
 Equal vectors are one point of the index that keeps the smallest ids, as many as a query can need.
 A hash deals the points to shards of bounded size. A task builds a shard's graph and keeps it as flat
-arrays: for each layer the members and a block of neighbour positions. A second job pairs shards with
-blocks of queries, searches, scores in double precision on the original vectors and keeps each
-query's best; a window over these merges the shards. Neither side is collected or broadcast.
+arrays: for each layer the members and a block of neighbour positions. A second job sends blocks of queries
+to bundles of shards, searches each shard, scores in double precision on the original vectors and keeps each
+query's best; a window over these merges the shards. Neither side is collected or broadcast: the join
+says so itself, as Spark takes the blocks for as large as they are before they are sent to each bundle.
 
 The graph: a point's top layer falls geometrically with a hash of its place; points are linked to near ones
 that are not nearer to one already chosen. Points enter in blocks, which see the graph before them
@@ -33,6 +34,10 @@ BUILD = 48
 SEARCH = 96
 SHARD = 4_096
 QUERY_BLOCK = 1_024
+#: Bundles of shards that a block of queries is sent to, at most, while a bundle has no more than TOGETHER shards.
+BUNDLES = 64
+#: Shards of a bundle, at most: a task of the join holds a bundle.
+TOGETHER = 16
 
 
 def _top(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +242,11 @@ def build(points: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(one, schema)
 
 
+def bundles(shards: int) -> int:
+    """How many bundles so many shards make."""
+    return min(shards, max(BUNDLES, -(-shards // TOGETHER)))
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, wide: int = SEARCH) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row of is_query (a condition on `id`) among all other rows."""
     rows = usable(df, key, vector)
@@ -248,7 +258,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     queries = rows.where(is_query).distinct()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard")
+    lots = bundles(shards)
+    sent = asked.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    pairs = sent.hint("merge").join(index.withColumn("bundle", F.pmod("shard", F.lit(lots))), "bundle")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,5 +284,5 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([-x[0] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
 
     hits = pairs.transform(small_batches).mapInArrow(look, "query_id long, vec_id long, score double")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.distinct().withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = F.dense_rank().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # equal hits share a rank
+    return hits.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()

@@ -85,6 +85,19 @@ def test_neighbours_few_and_none(spark):
     assert ann.nearest(few.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_in_bundles(spark):
+    """More shards than bundles; blocks of queries are not broadcast, however small they are before they are sent to each bundle."""
+    rnd = np.random.default_rng(4)
+    rows = list(enumerate(rnd.normal(size=(300, 6)).tolist()))
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, shard=3)
+    got = defaultdict(list)
+    for r in sorted(found.collect()):
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert got == {q: [(n, i) for n, (i, _) in enumerate(x, 1)] for q, x in exact_neighbours(rows).items()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [ann.bundles(n) for n in (1, 64, 65, 150, 1024, 1025, 16000)] == [1, 64, 64, 64, 64, 65, 1000]
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -217,28 +218,37 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vec array<double>) of the rows that take part."""
-    vec = F.col(vector).cast("array<double>")
+    """(id, vec) of the rows that take part; floats stay floats, as wider ones would double what is shuffled, all else is array<double>."""
+    single = df.select(vector).schema[0].dataType.simpleString() == "array<float>"
+    vec = F.col(vector) if single else F.col(vector).cast("array<double>")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite & F.exists(vec, lambda x: x != 0)).select(F.col(key).alias("id"), vec.alias("vec"))
     length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("vec") == length[0][0]) if length else rows
 
 
-def build(points: DataFrame, shards: int) -> DataFrame:
-    """(shard, ids, vectors, order, sizes, links): a row for each shard. points: (vec, ids array<long>)."""
+def _hashed() -> Column:
+    """A hash of the vector, the same for floats and doubles."""
+    return F.xxhash64(F.col("vec").cast("array<double>"))
+
+
+def build(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, ids, vectors, order, sizes, links): a row for each shard. rows: (id, vec), each once; vectors go out as they came in."""
     schema = "shard int, n int, ids binary, counts binary, vectors binary, `order` binary, sizes binary, links binary"
 
     def one(table: pa.Table) -> pa.Table:
-        ids = table.column("ids").to_pylist()
-        vec = np.array(table.column("vec").to_pylist(), np.float64)
-        by = np.argsort([i[0] for i in ids], kind="stable")
-        vec, ids = _scaled(vec[by]), [ids[i] for i in by]
-        graph = Graph(_unit(vec)).packed()
-        row = {"shard": table.column("shard")[0].as_py(), "n": len(ids), "ids": np.array([i for x in ids for i in x], "<i8").tobytes(), "counts": np.array([len(x) for x in ids], "<i4").tobytes(), "vectors": vec.astype("<f8").tobytes(), **graph}
+        ids = table.column("id").to_numpy().astype("<i8")
+        raw = pc.list_flatten(table.column("vec")).to_numpy().reshape(len(ids), -1) + 0  # no negative zeros
+        by = np.argsort(ids, kind="stable")
+        ids, raw = ids[by], raw[by]
+        _, first, point = np.unique(raw, axis=0, return_index=True, return_inverse=True)
+        point = np.argsort(np.argsort(first))[point.ravel()]  # points in the order of their smallest ids
+        vec, ids = raw[np.sort(first)], ids[np.argsort(point, kind="stable")]
+        graph = Graph(_unit(_scaled(vec.astype(np.float64)))).packed()
+        row = {"shard": table.column("shard")[0].as_py(), "n": len(vec), "ids": ids.tobytes(), "counts": np.bincount(point).astype("<i4").tobytes(), "vectors": vec.astype(vec.dtype.newbyteorder("<")).tobytes(), **graph}
         return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("n", pa.int32()), *((k, pa.binary()) for k in ("ids", "counts", "vectors", "order", "sizes", "links"))]))
 
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
+    dealt = rows.select("id", "vec", F.pmod(_hashed(), F.lit(shards)).cast("int").alias("shard"))
     return dealt.groupBy("shard").applyInArrow(one, schema)
 
 
@@ -252,9 +262,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     rows = usable(df, key, vector)
     first = F.row_number().over(W.partitionBy("vec").orderBy("id"))
     kept = rows.distinct().withColumn("_n", first).where(F.col("_n") <= k + 1)  # no query can need more of equal vectors
-    points = written(kept.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
-    shards = max(1, -(-points.count() // shard))
-    index = written(build(points, shards), "shards")
+    points = rows.select(_hashed().alias("h")).distinct().count()
+    shards = max(1, -(-points // shard))
+    index = written(build(kept, shards), "shards")
+    kind = "<f4" if rows.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
     queries = rows.where(is_query).distinct()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
@@ -266,7 +277,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                vec = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
+                vec = _scaled(np.frombuffer(row["vectors"], kind).reshape(row["n"], -1).astype(np.float64))
                 graph = Graph.unpacked(_unit(vec), row["order"], row["sizes"], row["links"])
                 counts = np.frombuffer(row["counts"], "<i4")
                 ends = np.cumsum(counts)

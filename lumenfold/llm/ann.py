@@ -271,7 +271,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     asked = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
     lots = bundles(shards)
     sent = asked.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-    pairs = sent.hint("merge").join(index.withColumn("bundle", F.pmod("shard", F.lit(lots))), "bundle")
+    held = index.withColumn("bundle", F.pmod("shard", F.lit(lots)))
+    pairs = sent.repartition(lots, "bundle").hint("merge").join(held.repartition(lots, "bundle"), "bundle")  # as many tasks: they take long for their bytes
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,6 +98,19 @@ def test_neighbours_in_bundles(spark):
     assert [ann.bundles(n) for n in (1, 64, 65, 150, 1024, 1025, 16000)] == [1, 64, 64, 64, 64, 65, 1000]
 
 
+def test_neighbours_of_floats(spark):
+    """Floats and the same numbers as doubles give the same rows; zeros of either sign make equal vectors."""
+    rnd = np.random.default_rng(5)
+    vec = rnd.normal(size=(200, 4)).astype(np.float32).astype(float)
+    vec[:100, 0] = np.where(np.arange(100) % 2, 0.0, -0.0)
+    vec[1:10, 1:] = vec[0, 1:]
+    rows = list(enumerate(vec.tolist()))
+    one, two = (ann.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("id") % 50 == 0, shard=40).collect() for kind in ("float", "double"))
+    assert sorted(one) == sorted(two)
+    top = sorted(one)[:5]
+    assert [r.vec_id for r in top] == [1, 2, 3, 4, 5] and len({r.score for r in top}) == 1
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 
